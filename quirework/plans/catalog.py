@@ -1,11 +1,8 @@
-"""Named queries and their SQL."""
+"""All queries of the engine's own operators, with their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import figures, jobs, layout, texts, typeset  # noqa: F401
+from .register import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
