@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import translate
 from ..sources.tables import table
 from .register import query
 
@@ -305,3 +306,20 @@ def text_cues(spark: SparkSession, d: str) -> DataFrame:
         s.rlike("^\\s*(?:(?:[IVXLCDM]+|[0-9]+(?:\\.[0-9]+)*|[A-Z])[.)]|(?:[IVXLCDM]+|[0-9]+(?:\\.[0-9]+)*))\\s+\\S").alias("head_prefix"),
         X.caps_only(s).alias("caps"),
     )
+
+
+@query(f"SELECT doc_id, seg_id, 0 AS n_errors, len(regexp_extract_all(source, '{_MASK}')) AS n_tokens FROM {_SEG}")
+def stub_translations(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in translations keep every token exactly once."""
+    s = segments(spark, d)
+    t = translate.translate_stub(s)
+    n = F.size(X.all_of(F.col("translated"), X.MASKABLE)).cast("long")
+    return t.select("doc_id", "seg_id", "n_errors", n.alias("n_tokens"))
+
+
+@query("""WITH l AS (SELECT doc_id, text, regexp_extract(text, '^([A-Z][a-z]+(?:[ -][a-z]+)?):', 1) AS label FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, label, regexp_replace(substr(text, length(label) + 1), '^[ :;–—]+', '') AS body FROM l WHERE label <> ''""")
+def inline_labels(spark: SparkSession, d: str) -> DataFrame:
+    """A label that opens a text, and the body behind it."""
+    t = table(spark, d, "documents").where("text IS NOT NULL").withColumn("label", F.regexp_extract("text", "^([A-Z][a-z]+(?:[ -][a-z]+)?):", 1)).where("label <> ''")
+    return t.select("doc_id", "label", F.regexp_replace(F.substr("text", F.length("label") + 1), "^[ :;–—]+", "").alias("body"))

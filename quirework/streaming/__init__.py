@@ -1 +1 @@
-
+"""Structured streams of job events."""
