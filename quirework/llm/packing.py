@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-SALTS = 256
+SALTS = 64
 
 
 def _largest_at_most(sizes: list[int], x: int) -> int | None:
@@ -55,20 +55,16 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> list[tuple[int
     while len(sizes) > stuck:
         j = sizes[-1 - stuck]
         room = capacity - j
-        small = sizes[0]
-        if small > room or (small == j and counts[j] == 1):
+        small, second = _two_smallest(sizes, counts, j)
+        if small is None or small > room:
             take(counts[j], (j,))
             continue
         k = _largest_at_most(sizes, room)
         if k == j and counts[j] == 1:
             i = bisect_left(sizes, j)
             k = sizes[i - 1] if i else None
-        if k is None:
-            take(counts[j], (j,))
-            continue
         both = counts[j] // 2 if k == j else min(counts[j], counts[k])
-        second = small if counts[small] > 1 + (small == j) else (sizes[1] if len(sizes) > 1 else capacity)
-        if k == room or small + second > room:
+        if k == room or second is None or small + second > room:
             take(both, (j, k))
             continue
         # pairs beside j: those dominated by the largest item alone, or by the pair (k, largest item beside k)
@@ -85,6 +81,16 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> list[tuple[int
     return fixed
 
 
+def _two_smallest(sizes: list[int], counts: dict[int, int], j: int) -> tuple[int | None, int | None]:
+    """The two smallest items that one item of size j can be put with."""
+    out: list[int] = []
+    for s in sizes:
+        out += [s] * min(2, counts[s] - (s == j))
+        if len(out) >= 2:
+            break
+    return (out[0] if out else None), (out[1] if len(out) > 1 else None)
+
+
 def _widest_pair(sizes: list[int], counts: dict[int, int], room: int, j: int) -> tuple[int, int] | None:
     """(largest first member, largest second member) over all pairs that fit in the room."""
     best_sum, big, second = None, 0, 0
