@@ -73,11 +73,20 @@ def _run(enc: str) -> re.Pattern[str]:
     return re.compile(_cls(list(_table(enc))) + "+")
 
 
+_HIGH = "\\u0080-\\u00ff\\u0152\\u0153\\u0160\\u0161\\u0178\\u017d\\u017e\\u0192\\u02c6\\u02dc\\u2013\\u2014\\u2018-\\u201e\\u2020-\\u2022\\u2026\\u2030\\u2039\\u203a\\u20ac\\u2122"
+
+
 def suspicious(col: Column) -> Column:
-    """A cheap test inside the JVM that no garbled text fails: only its rows need the repair."""
-    high = "\\u0080-\\u00ff\\u0152\\u0153\\u0160\\u0161\\u0178\\u017d\\u017e\\u0192\\u02c6\\u02dc\\u2013\\u2014\\u2018-\\u201e\\u2020-\\u2022\\u2026\\u2030\\u2039\\u203a\\u20ac\\u2122"
-    shapes = [LOSS, f"[{high}]{{3}}", f"[{high}].[{high}].[{high}]", *map(_utf8_shape, SINGLE)]
-    return F.coalesce(col.rlike("(?s)" + "|".join(shapes)), F.lit(False))
+    """The test inside the JVM: garbled text is never pure ASCII. It compares two stored lengths only."""
+    return F.coalesce(F.octet_length(col) > F.length(col), F.lit(False))
+
+
+@cache
+def _maybe() -> re.Pattern[str]:
+    """What every garbled text has somewhere; one character class in front rules out most places at once."""
+    leads = {c for enc in SINGLE for c, b in _table(enc).items() if 0xC2 <= b <= 0xF4}
+    shapes = [LOSS, f"[{_HIGH}]{{3}}", f"[{_HIGH}].[{_HIGH}].[{_HIGH}]", *map(_utf8_shape, SINGLE)]
+    return re.compile(f"(?=[{_HIGH}{LOSS}]|{_cls(list(leads))})(?:" + "|".join(shapes) + ")", re.S)
 
 
 # Letters of other scripts that pass for Latin ones: a run of only these is disguise, not garbling.
@@ -108,7 +117,7 @@ def garbling_cost(text: str) -> float:
 def _credible(text: str) -> bool:
     for c in text:
         o = ord(c)
-        if o < 0x20 or 0x7F <= o < 0xA0 or 0xE000 <= o < 0xF900 or o > 0x1FAFF or 0x0700 <= o < 0x0900 or 0x1200 <= o < 0x1E00:
+        if o < 0x20 or 0x7F <= o < 0xA0 or 0xE000 <= o < 0xF900 or o > 0x1FAFF or (0x0250 <= o < 0x0370 and o not in (0x2C6, 0x2DC)) or 0x0700 <= o < 0x0900 or 0x1200 <= o < 0x1E00:
             return False
     return True
 
@@ -198,7 +207,7 @@ def _double_step(text: str) -> str | None:
             if not got or LOSS in got or any(0xE000 <= ord(c) < 0xF900 for c in got):
                 continue
             wide = [c for c in got if ord(c) >= 0x1100]
-            if not wide or len(wide) < 2:
+            if len(wide) < 2 or len(wide) < 0.8 * sum("a" <= c <= "z" for c in got):
                 continue
             kana = sum("ぁ" <= c <= "ヾ" for c in wide)
             hangul = sum("가" <= c <= "힣" for c in wide)
@@ -229,15 +238,22 @@ def _double_step(text: str) -> str | None:
 
 def repair(text: str | None) -> tuple[str | None, bool]:
     """The text with every layer of wrong decoding undone where possible, and whether it was garbled."""
-    if text is None or text.isascii():
+    if text is None or text.isascii() or not _maybe().search(text):
         return text, False
     now, garbled = text, LOSS in text
     for _ in range(MAX_LAYERS):
-        steps = [x for x in (_single_step(now), _double_step(now)) if x is not None]
-        if not steps:
+        steps = [now]
+        while len(steps) <= MAX_LAYERS and (step := _single_step(steps[-1])) is not None:
+            steps.append(step)
+        # a whole repair through single bytes is no chance; half a one may be double-byte text
+        best = steps[-1]
+        if garbling_cost(best) > 0.35 * garbling_cost(now):
+            other = _double_step(now)
+            if other is not None and garbling_cost(other) < garbling_cost(best):
+                best = other
+        if best == now:
             break
-        step = min(steps, key=garbling_cost)
-        now, garbled = step, True
+        now, garbled = best, True
     return now, garbled
 
 
