@@ -34,8 +34,3 @@ def counting_runs(df: DataFrame, keys: list[str], order: list, number: str, name
     w = Window.partitionBy(*keys).orderBy(*order)
     return runs(df, keys, order, F.col(number) != F.lag(number).over(w) + 1, name)
 
-
-def after_first(df: DataFrame, keys: list[str], order: list, flag: Column, name: str) -> DataFrame:
-    """True for rows behind the first row where `flag` holds."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.max(flag).over(w), F.lit(False)))

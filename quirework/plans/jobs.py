@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import store
+from ..operators import blocks, store
 from ..sources.tables import table
 from .register import query
 
@@ -110,7 +110,8 @@ def event_delays(spark: SparkSession, d: str) -> DataFrame:
     """Events numbered in order, with their delay."""
     p = table(spark, d, "progress").distinct()
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return p.select("doc_id", "segment_id", "done", F.row_number().over(Window.partitionBy("doc_id").orderBy("done", "segment_id")).alias("running"), (us("arrived_at") - us("emitted_at")).alias("delay_us"))
+    r = blocks.rank(p, ["doc_id"], F.floor(F.col("done") / 1000), ["done", "segment_id"], "running")
+    return r.select("doc_id", "segment_id", "done", F.col("running").cast("int").alias("running"), (us("arrived_at") - us("emitted_at")).alias("delay_us"))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, event_type FROM events WHERE json_valid(props)""")
@@ -124,6 +125,5 @@ def decoded_events(spark: SparkSession, d: str) -> DataFrame:
 SELECT event_id, event_type, place, place <= 4 AS admitted FROM s""")
 def admissions(spark: SparkSession, d: str) -> DataFrame:
     """Places in the queue of each kind, and who is let in by a limit of four."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("place", F.row_number().over(w).cast("long"))
+    e = blocks.rank(table(spark, d, "events"), ["event_type"], F.date_trunc("hour", "ts"), ["ts", "event_id"], "place")
     return e.select("event_id", "event_type", "place", (F.col("place") <= 4).alias("admitted"))

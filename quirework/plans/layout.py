@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import folds, islands, spatial
+from ..operators import blocks, folds, islands, spatial
 from ..operators import lines as L
 from ..sources.tables import table
 from .register import query
 
+PAGE_BLOCK = 256  # pages of a document ordered in one window
+
 _SPANS = "(SELECT DISTINCT ON (doc_id, page, block_no, line_no, span_no) * FROM spans)"
 _LINES = f"""lines AS (SELECT doc_id, page, block_no, line_no, string_agg(coalesce(text, ''), '' ORDER BY span_no) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM {_SPANS} GROUP BY ALL)"""
 _PAGES = "pages AS (SELECT DISTINCT doc_id, page, width, height FROM layout_pages)"
@@ -219,8 +221,8 @@ SELECT doc_id, seg_id, right(before, 400) AS context FROM p""")
 def previous_sources(spark: SparkSession, d: str) -> DataFrame:
     """The end of the translatable text before, as context."""
     s = segs(spark, d).where(~F.col("kind").isin("header_footer", "formula", "author", "reference", "figure_text", "algorithm"))
-    w = Window.partitionBy("doc_id").orderBy("page", "idx")
-    return s.withColumn("before", F.lag("source").over(w)).select("doc_id", "seg_id", F.expr("right(before, 400)").alias("context"))
+    b = blocks.lag(s, ["doc_id"], F.floor(F.col("page") / PAGE_BLOCK), ["page", "idx"], "source", "before")
+    return b.select("doc_id", "seg_id", F.expr("right(before, 400)").alias("context"))
 
 
 @query(f"""WITH {_SEGB}, b AS (SELECT *, sum(length(source)) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used FROM segs WHERE kind = 'body' AND page = 0)
@@ -236,7 +238,7 @@ def sample_within_budget(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, seg_id, coalesce(seen, 0) = 1 AS in_references FROM t""")
 def reference_section(spark: SparkSession, d: str) -> DataFrame:
     """Everything behind the first reference."""
-    r = islands.after_first(segs(spark, d), ["doc_id"], ["page", "idx"], F.col("kind") == "reference", "in_references")
+    r = blocks.after_first(segs(spark, d), ["doc_id"], ["page", "idx"], F.col("kind") == "reference", "in_references")
     return r.select("doc_id", "seg_id", "in_references")
 
 
@@ -247,8 +249,10 @@ SELECT doc_id, seg_id, num, run, count(*) OVER (PARTITION BY doc_id, run) >= 2 A
 def enumeration_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of consecutive numbers over columns and pages."""
     n = segs(spark, d).where(F.col("source").rlike("^[0-9]{1,2}[.]")).withColumn("num", F.regexp_extract("source", "^([0-9]{1,2})[.]", 1).cast("int"))
-    r = islands.counting_runs(n, ["doc_id"], ["page", "idx"], "num")
-    return r.select("doc_id", "seg_id", "num", "run", (F.count(F.lit(1)).over(Window.partitionBy("doc_id", "run")) >= 2).alias("is_item"))
+    block = F.floor(F.col("page") / PAGE_BLOCK)
+    r = blocks.runs(blocks.lag(n, ["doc_id"], block, ["page", "idx"], "num", "last"), ["doc_id"], block, ["page", "idx"], F.col("num") != F.col("last") + 1)
+    sizes = r.groupBy("doc_id", "run").agg((F.count(F.lit(1)) >= 2).alias("is_item"))
+    return r.join(sizes, ["doc_id", "run"]).select("doc_id", "seg_id", "num", "run", "is_item")
 
 
 @query(f"""WITH {_LINES}, m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, block_no, line_no) AS pos, regexp_extract(text, '^\\s*(\\(?[0-9]{{1,2}}[.)]|[•◦–▪*])\\s', 1) AS marker FROM lines),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import translate
+from ..operators import blocks, translate
 from ..sources.tables import table
 from .register import query
 
@@ -229,7 +229,8 @@ SELECT doc_id, member, CASE WHEN k = 1 THEN member ELSE regexp_replace(member, '
 def archive_names(spark: SparkSession, d: str) -> DataFrame:
     """Safe member names, made unique by a number."""
     j = table(spark, d, "jobs").distinct().select("doc_id", X.safe_member(F.concat(F.lit("a/../"), "filename")).alias("member"))
-    k = j.withColumn("k", F.row_number().over(Window.partitionBy(F.lower("member")).orderBy("doc_id")))
+    # one name may belong to a large part of all jobs: places are counted in blocks of id prefixes
+    k = blocks.rank(j.withColumn("name", F.lower("member")), ["name"], F.substring("doc_id", 1, 3), ["doc_id"], "k")
     stem, ext = F.regexp_replace("member", "(?i)\\.pdf$", ""), F.regexp_extract("member", "(?i)(\\.pdf)$", 1)
     return k.select("doc_id", "member", F.when(F.col("k") == 1, F.col("member")).otherwise(F.concat(stem, F.lit(" ("), F.col("k").cast("string"), F.lit(")"), ext)).alias("unique_name"))
 

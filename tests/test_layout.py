@@ -105,3 +105,22 @@ def test_upsert_keeps_named_columns(spark):
     new = spark.createDataFrame([(1, "n"), (3, "m")], "k int, v string")
     got = {r["k"]: (r["v"], r["keep"]) for r in store.upsert(old, new, ["k"], ["keep"]).collect()}
     assert got == {1: ("n", "box"), 2: ("b", None), 3: ("m", None)}
+
+
+def test_blocks_equal_one_window(spark):
+    from pyspark.sql import Window
+
+    from quirework.operators import blocks
+
+    rng = np.random.default_rng(3)
+    rows = [(int(g), i, None if v == 3 else int(v)) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 300), rng.integers(0, 4, 300), strict=True))]
+    df = spark.createDataFrame(rows, "g int, o int, v int")
+    w, block = Window.partitionBy("g").orderBy("o"), F.floor(F.col("o") / 7)
+    plain = df.withColumn("k", F.row_number().over(w)).withColumn("b", F.lag("v").over(w))
+    both = blocks.lag(blocks.rank(df, ["g"], block, ["o"], "k"), ["g"], block, ["o"], "v", "b").select(plain.columns)
+    assert sorted(map(tuple, both.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    starts = F.col("v") == 2
+    a = blocks.runs(df, ["g"], block, ["o"], F.coalesce(starts, F.lit(False)) | F.col("o").isin([df.where(f"g = {g}").agg(F.min("o")).first()[0] for g in range(3)]), "r")
+    b = islands.runs(df, ["g"], ["o"], starts, "r")
+    assert sorted(map(tuple, a.select("g", "o", "r").collect())) == sorted(map(tuple, b.select("g", "o", "r").collect()))
+    assert blocks.rank(df.limit(0), ["g"], block, ["o"]).count() == 0
