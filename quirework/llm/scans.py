@@ -1,7 +1,7 @@
 """Repair of text from scanned pages: running headers, page numbers, broken words and misread characters.
 
-Method: words are grouped by the skeleton of confusable glyphs, and in each group the frequent form, supported by
-the word before it where several are frequent, replaces rare ones. Headers are lines that repeat over pages once
+Method: words are grouped by the skeleton of confusable glyphs, and in each group a frequent form replaces rare
+ones; of several frequent forms the word before decides. Headers are lines that repeat over pages once
 digits are masked and glyphs are reduced to their skeleton; paragraphs are reflowed with SQL windows.
 
 All steps are DataFrame operations. Windows run over one page, or over blocks of at most PAGE_BLOCK pages of a
@@ -156,15 +156,24 @@ def _vocabulary(roles: DataFrame) -> DataFrame:
     return words.unionByName(hyphened).groupBy(F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def misread_candidates(vocabulary: DataFrame) -> DataFrame:
+    """Rare forms with every frequent form of their skeleton: word, form, form_n. A few rows per rare word."""
+    forms = vocabulary.where((F.length("word") >= 3) & ~F.col("word").contains("-")).withColumn("skel", skeleton(F.col("word")))
+    good = forms.where(~F.col("word").rlike("\\d") & (F.col("n") >= FREQUENT)).select("skel", F.col("word").alias("form"), F.col("n").alias("form_n"))
+    return forms.join(good, "skel").where((F.col("word") != F.col("form")) & (F.col("form_n") >= RARER * F.col("n"))).select("word", "form", "form_n")
+
+
 def misread_forms(vocabulary: DataFrame) -> DataFrame:
-    """Rare forms with the frequent form of their skeleton: word, right_form.
+    """Rare forms with the most frequent form of their skeleton: word, right_form."""
+    return misread_candidates(vocabulary).groupBy("word").agg(F.max_by("form", F.struct("form_n", "form")).alias("right_form"))
 
-    Where a skeleton has several frequent forms the most frequent one is given first; `rivals` counts them.
-    """
-    forms = vocabulary.where((F.length("word") >= 3) & ~F.col("word").contains("-")).withColumn("skel", skeleton(F.col("word")))
-    top = forms.where(~F.col("word").rlike("\\d")).groupBy("skel").agg(F.max_by("word", F.struct("n", "word")).alias("right_form"), F.max("n").alias("most"))
-    pairs = forms.join(top, "skel").where((F.col("word") != F.col("right_form")) & (F.col("most") >= FREQUENT) & (F.col("most") >= RARER * F.col("n")))
-    return pairs.select("word", "right_form")
+
+def _contexts(roles: DataFrame) -> DataFrame:
+    """Counts of words with the word before them in the line: prev, form, together."""
+    w = _words(F.lower("text"))
+    lines = roles.where("role = 'body'").select(w.alias("w")).where(F.size("w") >= 2)
+    pairs = F.transform(F.sequence(F.lit(2), F.size("w")), lambda k: F.struct(F.element_at("w", k - 1).alias("prev"), F.element_at("w", k).alias("form")))
+    return lines.select(F.explode(pairs).alias("p")).groupBy("p.prev", "p.form").agg(F.count(F.lit(1)).alias("together"))
 
 
 def line_defects(lines: DataFrame) -> DataFrame:
@@ -200,7 +209,8 @@ def segment_defects(segments: DataFrame, defects: DataFrame) -> DataFrame:
 def repaired_paragraphs(lines: DataFrame, segments: DataFrame) -> DataFrame:
     """Each paragraph (doc_id, seg_id) of scanned documents as continuous text: repaired."""
     parts = _parts(lines)
-    wrong = misread_forms(parts["vocab"])
+    wrong = misread_candidates(parts["vocab"])
+    contexts = _contexts(parts["roles"])
     marks = parts["defects"].groupBy("doc_id", "text").agg(F.collect_set("defect").alias("defects"))
     docs = parts["roles"].select("doc_id").distinct()
     rows = segments.where(F.col("source").isNotNull()).join(docs, "doc_id", "left_semi").select("doc_id", "seg_id", F.posexplode(F.split("source", "\r?\n")).alias("pos", "text")).distinct()
@@ -208,7 +218,12 @@ def repaired_paragraphs(lines: DataFrame, segments: DataFrame) -> DataFrame:
     kept = known.where(~F.array_contains("defects", "running_header") & ~F.array_contains("defects", "page_number"))
     pieces = F.split("text", "(?<=[^\\p{L}\\d])(?=[\\p{L}\\d])|(?<=[\\p{L}\\d])(?=[^\\p{L}\\d])")
     bits = kept.where(F.array_contains("defects", "misread")).select("doc_id", "seg_id", "pos", F.posexplode(pieces).alias("at", "piece"))
-    fixed = bits.withColumn("word", F.lower("piece")).join(wrong, "word", "left")
+    line = Window.partitionBy("doc_id", "seg_id", "pos").orderBy("at")
+    bits = bits.withColumn("word", F.lower("piece")).withColumn("prev", F.lower(F.lag("piece", 2).over(line)))
+    # of several frequent forms the one most often seen behind the word before, then the most frequent
+    met = bits.join(wrong, "word").join(contexts, ["prev", "form"], "left")
+    chosen = met.groupBy("doc_id", "seg_id", "pos", "at").agg(F.max_by("form", F.struct(F.coalesce("together", F.lit(0)), "form_n", "form")).alias("right_form"))
+    fixed = bits.join(chosen, ["doc_id", "seg_id", "pos", "at"], "left")
     cased = F.when(F.col("right_form").isNull(), F.col("piece")).when(F.col("piece").rlike("^\\p{Lu}"), F.initcap("right_form")).otherwise(F.col("right_form"))
     mended = fixed.groupBy("doc_id", "seg_id", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", cased.alias("s")))), lambda x: x["s"]), "").alias("mended"))
     out = kept.join(mended, ["doc_id", "seg_id", "pos"], "left").withColumn("line", F.coalesce("mended", "text"))

@@ -306,6 +306,13 @@ def test_repaired_paragraph(spark):
     assert scans.repaired_paragraphs(df, seg).first()["repaired"] == "the search of the network and the network"
 
 
+def test_context_decides_between_frequent_forms(spark):
+    lines = ["the big cast sang", "a low cost plan", "the big cast left", "a low cost road"] * 8
+    df = scan(spark, [["*Title of it", *lines, "a low c0st rest"]])
+    seg = spark.createDataFrame([("d", "p0_s0", 0, "a low c0st rest")], "doc_id string, seg_id string, page int, source string")
+    assert scans.repaired_paragraphs(df, seg).first()["repaired"] == "a low cost rest"
+
+
 def test_page_numbers(spark):
     cases = {"- 12 -": 12, "[7]": 7, "p. 3": 3, "Page 9": 9, "311 / 48": 311, "xiv": 14, "l7O": 170, "xxxx": 40, "the 3": None, "": None, "44.5": None}
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", scans.number_of(F.col("t")).alias("n"))
@@ -351,3 +358,10 @@ def test_expected_counts_sum_to_target_words():
     batch = pa.RecordBatch.from_arrays([pa.array([[1, 2], [3]], pa.list_(pa.int64())), pa.array([[5, 6, 7], [8]], pa.list_(pa.int64())), pa.array([0, 0], pa.int32())], ["src", "tgt", "lang"])
     sums = align._expect(align.Table(), [batch])
     assert abs(float(sums["p"].sum()) - 4) < 1e-4 and float(sums["n"].sum()) == 4
+
+
+def test_giant_segment_is_aligned_in_stretches():
+    table = align.Table()
+    lines = [f"Item A{i}-{i} weighs {i * 7} now" for i in range(1000)]
+    pairs_, left, right = align.align_segment(table, "en", "\n".join(lines), "\n".join(f"A{i}-{i} 항목 {i * 7}" for i in range(1000) if i != 500))
+    assert sorted(pairs_) == sorted([(i, i - (i > 500)) for i in range(1000) if i != 500]) and left == [500] and right == []
