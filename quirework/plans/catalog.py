@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import figures, jobs, layout, texts, typeset  # noqa: F401
+from . import figures, jobs, layout, shapes, texts, typeset  # noqa: F401
 from .register import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -47,3 +47,13 @@ def test_text_package_is_optional():
     import __spark_entry__
 
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_nothing_else_imports_the_text_package():
+    import pathlib
+    import re
+
+    root = pathlib.Path(catalog.__file__).parent.parent
+    for f in root.rglob("*.py"):
+        if "llm" not in f.parts:
+            assert not re.search(r"^\s*(from|import) .*\bllm\b", f.read_text(), re.M), f
