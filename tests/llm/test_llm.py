@@ -247,6 +247,12 @@ def test_defects():
         assert pairs.defect_of(same, same) is None
 
 
+def test_every_declining_cue_holds_a_stem_or_another_script():
+    import re
+
+    assert all(re.search(pairs._OTHER_LETTERS, c) or any(s in c for s in pairs._STEMS) for c in pairs._CUES["d"])
+
+
 def test_suffix_automaton_coverage_equals_brute_force():
     rng = random.Random(6)
     for _ in range(200):
