@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .tokenizer import FOLDER, RANK_FILE, Encoder, SharedEncoder
+from .tokenizer import FOLDER, MEMORY, RANK_FILE, Encoder, SharedEncoder
 
 RANGE = 1 << 17
 HALO = 1 << 13
@@ -68,57 +68,62 @@ def boundaries(enc: Encoder, text: str, limit: int) -> tuple[list[int], list[int
     Short words with their punctuation are not divided; units with line ends, and long ones, are taken apart.
     """
     at, sums, marks = [0], [0], [4]
-    units = enc.units
+    simple = enc.simple  # words without line ends: their tokens, and the strength behind them
+    if len(simple) > MEMORY:
+        simple.clear()
+    memo, giant = enc.memo, max(1, limit // 8)
     total = pos = 0
     chunks = text.split(" ")
     last = len(chunks) - 1
     pending = ""
     for i, chunk in enumerate(chunks):
-        if not pending and i:
-            got = units.get(chunk)
-            if got is not None and "\n" not in chunk and "\r" not in chunk:
-                # the usual case: a blank and a known word
-                marks[-1] = max(marks[-1], 1) if marks[-1] < 4 else marks[-1]
-                total += len(got)
+        if i and not pending:
+            got = simple.get(chunk)
+            if got is not None:  # the usual case: a blank and a known word
+                total += got[0]
                 pos += len(chunk) + 1
                 at.append(pos)
                 sums.append(total)
-                marks.append(2 if chunk[-1] in _ENDS and _SENTENCE.search(chunk) else 1)
+                marks.append(got[1])
                 continue
         unit = pending + (" " + chunk if i else chunk)
         if i < last and (not chunk or chunk[-1].isspace()):
             pending = unit
             continue
+        word = i and not pending
         pending = ""
         if not unit:
             continue
-        if len(unit) <= 24 and not regex.search("[\n\r]", unit):
-            got = enc.encode_unit(unit)
-            if unit[0] == " " and unit[1:2] and not unit[1].isspace() and len(unit) < 32:
-                units[unit[1:]] = got
-            total += len(got)
+        if len(unit) <= 24 and "\n" not in unit and "\r" not in unit:
+            n = len(enc.encode_unit(unit))
+            mark = 2 if unit[-1] in _ENDS and _SENTENCE.search(unit) else 1
+            if word:
+                simple[chunk] = (n, mark)
+            total += n
             pos += len(unit)
             at.append(pos)
             sums.append(total)
-            marks.append(2 if unit[-1] in _ENDS and _SENTENCE.search(unit) else 1)
+            marks.append(mark)
             continue
         base = pos
         for m in enc.spans(unit):
             piece = m.group()
-            if m.start():
-                marks[-1] = _strength(unit[max(0, m.start() - 8) : m.start()], piece)
-            ids = enc.memo.get(piece) or enc.encode_piece(piece)
-            if len(ids) > max(1, limit // 8) and len(piece) > 1:
-                at_bit = base + m.start()
-                bits = enc.parts(piece)
+            s = m.start()
+            if s:
+                # between two letters or digits there is nothing natural
+                marks[-1] = (1 if piece[0] == " " else 0) if unit[s - 1].isalnum() and piece[0] not in "\n\r" else _strength(unit[max(0, s - 8) : s], piece)
+            ids = memo.get(piece) or enc.encode_piece(piece)
+            if len(ids) > giant and len(piece) > 1:
+                at_bit = base + s
+                bits, mark = enc.parts(piece), -1
                 if len(bits) == 1:
-                    bits = list(piece)
+                    bits, mark = list(piece), -2  # the sums of single signs only bound the count
                 for bit in bits[:-1]:
                     total += len(enc.merge(bit.encode("utf-8")))
                     at_bit += len(bit)
                     at.append(at_bit)
                     sums.append(total)
-                    marks.append(-1)
+                    marks.append(mark)
                 total += len(enc.merge(bits[-1].encode("utf-8")))
             else:
                 total += len(ids)
@@ -135,6 +140,21 @@ def cut_pieces(enc: Encoder, text: str, limit: int, overlap: int, first: int = 0
     """(start, end, tokens) of pieces that cover the text from offset `first` on; text before it may be shared."""
     at, sums, marks = boundaries(enc, text, limit)
     n = len(at) - 1
+    loose = -2 in marks
+
+    def tokens(i: int, j: int) -> int:
+        """The tokens of the text between two boundaries when it stands alone.
+
+        Up to its last sign that is not white space it falls apart as it does in the whole text; only a run of
+        white space at the end is divided anew.
+        """
+        if loose:
+            return enc.count(text[at[i] : at[j]])
+        k = j
+        while k > i and text[at[k] - 1].isspace():
+            k -= 1
+        return sums[k] - sums[i] + (enc.count(text[at[k] : at[j]]) if k < j else 0)
+
     if not first and sums[-1] <= limit and small_too is False:
         return []
     out: list[tuple[int, int, int]] = []
@@ -154,13 +174,13 @@ def cut_pieces(enc: Encoder, text: str, limit: int, overlap: int, first: int = 0
                     if marks[k] == 4:
                         break
             end = best if best is not None else hi
-        count = enc.count(text[at[start] : at[end]])
+        count = tokens(start, end)
         while count > limit and end > done + 1:
             end -= 1
-            count = enc.count(text[at[start] : at[end]])
+            count = tokens(start, end)
         if count > limit and start < done:  # the shared part does not fit beside an undividable one
             start = done
-            count = enc.count(text[at[start] : at[end]])
+            count = tokens(start, end)
         out.append((at[start], at[end], count))
         done = end
         start = _shared_start(at, sums, end, overlap)
@@ -213,10 +233,11 @@ def split_texts(df: DataFrame, limit: int, overlap: int, column: str = "text", k
     from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
     schema = StructType([df.schema[key]]).add("range_no", LongType()).add("idx", IntegerType()).add("start_char", LongType()).add("end_char", LongType()).add("n_tokens", IntegerType()).add("piece", StringType())
-    pieces = cut(ranges.mapInArrow(run, schema), "pieces")
-    many = pieces.where("range_no > 0").select(key).distinct()
-    sizes = pieces.select(key, "range_no", "idx").join(many, key, "left_semi").groupBy(key, "range_no").agg((F.max("idx") + 1).alias("k"))
-    before = sizes.withColumn("before", F.sum("k").over(Window.partitionBy(key).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1))).select(key, "range_no", "before")
     cols = ["start_char", "end_char", "n_tokens", "piece"]
-    numbered = pieces.join(before, [key, "range_no"], "left")
-    return numbered.select(key, (F.col("idx") + F.coalesce("before", F.lit(0))).cast("int").alias("piece_no"), *cols)
+    # texts of one range are numbered at once; only giant texts need the numbers of pieces before each range
+    one = ranges.where(F.col("__n") <= span + HALO).mapInArrow(run, schema).select(key, F.col("idx").alias("piece_no"), *cols)
+    many = cut(ranges.where(F.col("__n") > span + HALO).mapInArrow(run, schema), "pieces")
+    sizes = many.groupBy(key, "range_no").agg((F.max("idx") + 1).alias("k"))
+    before = sizes.withColumn("before", F.sum("k").over(Window.partitionBy(key).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1))).select(key, "range_no", "before")
+    numbered = many.join(before, [key, "range_no"]).select(key, (F.col("idx") + F.coalesce("before", F.lit(0))).cast("int").alias("piece_no"), *cols)
+    return one.unionByName(numbered)
