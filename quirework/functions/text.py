@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Untranslatable tokens, tried in this order (placeholder, link, e-mail, DOI, preprint id, citation).
@@ -247,3 +247,19 @@ def quoted_title(entry: Column) -> Column:
     b = F.regexp_extract(entry, "[\"“]\\s*([^\"“”]{4,}?)\\s*[\"”]", 1)
     t = F.regexp_replace(F.when(a != "", a).otherwise(b), "[,.;]+$", "")
     return F.when(t != "", t)
+
+
+def with_terms(docs: DataFrame, column: str, terms: DataFrame, keep: list[str], limit: int = 5_000) -> DataFrame:
+    """The terms (term, rendering) that occur in each text, whatever their case: `keep` columns, term, rendering.
+
+    A glossary of at most `limit` terms, checked, is tried on every text without a join; a larger one is joined on
+    the first word of the term, which must then begin a word of the text.
+    """
+    rows = terms.limit(limit + 1).collect()
+    low = F.lower(F.col(column))
+    if len(rows) <= limit:
+        listed = F.array(*[F.struct(F.lit(r["term"]).alias("term"), F.lit(r["rendering"]).alias("rendering")) for r in rows]) if rows else F.array().cast("array<struct<term:string,rendering:string>>")
+        return docs.select(*keep, F.inline(F.filter(listed, lambda x: F.contains(low, F.lower(x["term"])))))
+    heads = docs.select(*keep, low.alias("__low"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[\\p{L}\\d]+"), F.lit(0)))).alias("__head"))
+    keyed = terms.withColumn("__head", F.regexp_extract(F.lower("term"), "^[^\\p{L}\\d]*([\\p{L}\\d]+)", 1))
+    return heads.join(keyed, "__head").where(F.contains("__low", F.lower("term"))).select(*keep, "term", "rendering").distinct()

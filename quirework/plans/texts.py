@@ -192,9 +192,8 @@ def glossary_terms(spark: SparkSession, d: str) -> DataFrame:
     clean = lines.select("term_id", F.trim(F.regexp_replace("line", "^\\s*(?:[-*•]|[0-9]+[.)])\\s*", "")).alias("c")).where(F.contains("c", F.lit("=")))
     parsed = clean.select("term_id", F.trim(F.regexp_extract("c", "^([^=]*)=", 1)).alias("term"), F.trim(F.regexp_extract("c", "^[^=]*=(.*)$", 1)).alias("rendering")).where("term <> '' AND rendering <> ''")
     last = parsed.groupBy("term").agg(F.max_by("rendering", "term_id").alias("rendering"))
-    # the glossary is a fixed table of some dozen terms
     docs = table(spark, d, "documents").where("doc_kind = 'abstract'")
-    return docs.join(F.broadcast(last), F.contains(F.lower("text"), F.lower("term"))).select("doc_id", "term", "rendering")
+    return X.with_terms(docs, "text", last, ["doc_id"])
 
 
 @query(f"""WITH s AS (SELECT *, CAST(regexp_extract(seg_id, '_s([0-9]+)$', 1) AS INT) AS idx FROM {_SEG}),

@@ -43,6 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + made
 
 
+_CUTS: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that `cut` wrote in this process, once their results are no longer read; gives their number."""
+    jvm = spark.sparkContext._jvm
+    gone = 0
+    while _CUTS:
+        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def cut(df: DataFrame, label: str = "step", *partition_by: str) -> DataFrame:
     """Writes `df` once to the shared folder and reads it back.
 
@@ -51,6 +64,7 @@ def cut(df: DataFrame, label: str = "step", *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quirework-{label}-{uuid.uuid4().hex}"
+    _CUTS.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

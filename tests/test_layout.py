@@ -124,3 +124,10 @@ def test_blocks_equal_one_window(spark):
     b = islands.runs(df, ["g"], ["o"], starts, "r")
     assert sorted(map(tuple, a.select("g", "o", "r").collect())) == sorted(map(tuple, b.select("g", "o", "r").collect()))
     assert blocks.rank(df.limit(0), ["g"], block, ["o"]).count() == 0
+
+
+def test_cut_tables_are_released(spark):
+    from quirework.session import cut, release
+
+    df = cut(spark.range(5), "t")
+    assert df.count() == 5 and release(spark) >= 1 and release(spark) == 0

@@ -77,3 +77,12 @@ def test_safe_member_and_versions(spark):
 def test_leading_label(spark):
     assert one(spark, X.strip_leading_label(F.col("t"), F.col("s")), t="Note:\nbody", s="Plain text.") == "body"
     assert one(spark, X.strip_leading_label(F.col("t"), F.col("s")), t="Note:\nbody", s="Abstract: text.") == "Note:\nbody"
+
+
+def test_terms_by_list_and_by_join(spark):
+    docs = spark.createDataFrame([(1, "The Error Bound and step size."), (2, None), (3, "")], "id int, text string")
+    terms = spark.createDataFrame([("error bound", "a"), ("step size", "b"), ("graph", "c")], "term string, rendering string")
+    want = [(1, "error bound", "a"), (1, "step size", "b")]
+    assert sorted(map(tuple, X.with_terms(docs, "text", terms, ["id"]).collect())) == want
+    assert sorted(map(tuple, X.with_terms(docs, "text", terms, ["id"], limit=1).collect())) == want
+    assert X.with_terms(docs, "text", terms.limit(0), ["id"]).count() == 0
