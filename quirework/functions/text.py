@@ -16,6 +16,7 @@ MASKABLE = (
     "|arXiv:[0-9]{4}\\.[0-9]{4,5}(?:v[0-9]+)?"
     "|\\[[0-9]+(?:\\s*[,–-]\\s*[0-9]+)*\\]"
 )
+# Shapes of tokens, and the scripts a Korean text does not hold.
 ANY_TOKEN = "⟦[^⟦⟧\\s]{1,12}⟧"
 MASK_TOKEN = "⟦M[0-9]+⟧"
 FOREIGN = "[\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{30FF}\\x{0400}-\\x{04FF}]"
@@ -23,7 +24,7 @@ FOREIGN = "[\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{30FF}\\x{0400}-\\x{04FF}]"
 STOPWORDS = tuple(
     "the a an of and or is are was were be been being this that these those it its we our us in on for with as by to from at into over under between during which where when while then than if because since through denotes denote given let holds defined follows following using implies such".split()
 )
-MATH_SYMBOLS = "=+−×÷·∑∏∫√∞≈≠≤≥±→←↔⇒⇐∈∉⊂⊆∪∩∧∨¬∀∃∂∇^_/<>|‖"
+# Roman signs, and the shapes of captions and list markers.
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 CAPTION = "(?i)^\\s*(fig(?:ure)?\\.?|table)\\s*([0-9]+|[ivxlcdm]+\\b)"
 MARKER = "^\\s*(?:[•◦–▪*]|\\(?(?:viii|vii|iii|vi|iv|ix|ii|i|v|x)[.)]|\\(?[0-9]{1,2}[.)]|\\(?[a-z][.)]|⟦EQ[0-9]+⟧)\\s+"

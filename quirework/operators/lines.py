@@ -11,6 +11,7 @@ from ..functions import text as X
 LINE = ["doc_id", "page", "block_no", "line_no"]
 # Font-name marks of math fonts; the last one is generic and vetoed by a Roman style name.
 MATH_FONTS = ("CMMI", "CMSY", "CMEX", "MTMI", "MTSY", "MTEX", "BLEX", "MSAM", "MSBM", "MATH")
+# Signs that stay literal in math fonts.
 LITERALS = "0-9.,;:!?()\\[\\]{}|/\\\\%=<>+±−×÷·∗*≤≥≈≃≅∼~≠≲≳•◦▪"
 DROP_CAP_SIZE = 20.0
 
