@@ -90,3 +90,14 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         _SHIPPED.add(sc.applicationId)
     return spark
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Gives every core a part of a scan that has fewer parts than half the cores (one small file, say).
+
+    For plans without a shuffle that feed work in Python; larger inputs pass as they are. Only the partitioning
+    differs, never the rows.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    parts = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan.repartition(cores) if 0 < parts and 2 * parts <= cores else scan
