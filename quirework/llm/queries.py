@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
+from ..session import cut, ship, spread
 from ..sources.tables import table
 from . import align, lookalike, mojibake, packing, pairs, scans, sentences, splitting, tokenizer
 
@@ -17,7 +17,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     """spans.text and segments.source as tbl, doc_id, rec, text."""
     spans = table(spark, d, "spans").select(F.lit("spans").alias("tbl"), "doc_id", F.concat_ws("/", "page", "block_no", "line_no", "span_no").alias("rec"), "text")
     segs = table(spark, d, "segments").select(F.lit("segments").alias("tbl"), "doc_id", F.col("seg_id").alias("rec"), F.col("source").alias("text"))
-    return spans.unionByName(segs)
+    return spread(spans.unionByName(segs))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +28,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "segments").where(F.col("status").isin("done", "fallback") & F.col("kind").isin("body", "heading", "caption"))
-    return pairs.flag_pairs(s).distinct()
+    return pairs.flag_pairs(spread(s)).distinct()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +73,7 @@ def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     running = table(spark, d, "doc_profile").where("text_form = 'running'").select("doc_id").distinct()
-    s = table(spark, d, "segments").select("doc_id", "seg_id", "kind", "source", "translated").join(running, "doc_id", "left_semi")
+    s = spread(table(spark, d, "segments").select("doc_id", "seg_id", "kind", "source", "translated")).join(running, "doc_id", "left_semi")
     sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("text")) for c in ("source", "translated")])).alias("x")
     flat = s.select("doc_id", "seg_id", (F.col("kind") == "heading").alias("heading"), sides).select("doc_id", "seg_id", "heading", "x.side", "x.text")
     units = sentences.sentence_units(flat, "text", heading="heading")
@@ -81,7 +81,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenizer.encode_column(table(spark, d, "documents"))
+    return tokenizer.encode_column(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def _budget(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
@@ -91,14 +91,14 @@ def _budget(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every document, or part of one, with its container."""
-    counts = cut(tokenizer.count_column(table(spark, d, "documents")), "counts")
+    counts = cut(tokenizer.count_column(spread(table(spark, d, "documents").select("doc_id", "text"))), "counts")
     return packing.pack(counts, _budget(spark, d, "container")[0])
 
 
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of every document above the piece budget."""
     limit, overlap = _budget(spark, d, "piece")
-    return splitting.split_texts(table(spark, d, "documents"), limit, overlap)
+    return splitting.split_texts(spread(table(spark, d, "documents").select("doc_id", "text")), limit, overlap)
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
