@@ -138,9 +138,9 @@ def identifier_forms(text: Column) -> Column:
 
 
 def missing_identifiers(source: Column, text: Column, most: int = 8) -> Column:
-    """Identifiers the text lost, in order; none if capitals make up over 60 % of the source's letters."""
+    """Identifiers the text lost, in order; none if capitals make up over 60 % of the source's letters, of any script."""
     plain = F.regexp_replace(source, ANY_TOKEN, " ")
-    letters, capitals = F.length(F.regexp_replace(plain, "[^A-Za-z]", "")), F.length(F.regexp_replace(plain, "[^A-Z]", ""))
+    letters, capitals = F.length(F.regexp_replace(plain, "\\P{L}", "")), F.length(F.regexp_replace(plain, "\\P{Lu}", ""))
     lost = F.slice(F.filter(identifier_forms(source), lambda t: ~F.contains(text, t)), 1, most)
     return F.when((letters > 0) & (capitals > 0.6 * letters), F.array().cast("array<string>")).otherwise(lost)
 

@@ -145,7 +145,7 @@ i AS (SELECT *, list_distinct(list_transform(list_filter(toks, lambda w: NOT reg
 SELECT doc_id, seg_id, CASE WHEN nl > 0 AND nc > 0.6 * nl THEN '' ELSE array_to_string(list_sort(list_filter(ids, lambda w: NOT contains(translated, w))), ' ') END AS missing
 FROM i WHERE NOT list_contains(list_transform(toks, lambda w: contains(w, '..')), true) AND NOT regexp_matches(plain, '_|[0-9][A-Za-z]|--|[.-][A-Za-z0-9]*[.-]|[^A-Za-z0-9][.-][A-Za-z]')""")
 def missing_identifiers(spark: SparkSession, d: str) -> DataFrame:
-    """Identifiers a translation lost, for plain ASCII sources without doubtful tokens."""
+    """X11 and X12 on the share that SQL can follow: plain ASCII sources without doubtful tokens; all_missing_identifiers takes every source."""
     s = segments(spark, d).where("translated IS NOT NULL").where(F.col("source").rlike("^[ -~]*$"))
     plain = F.regexp_replace("source", X.ANY_TOKEN, " ")
     s = s.where(~plain.rlike("_|[0-9][A-Za-z]|--|[.-][A-Za-z0-9]*[.-]|[^A-Za-z0-9][.-][A-Za-z]"))
@@ -153,6 +153,13 @@ def missing_identifiers(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "seg_id", F.array_join(F.array_sort(lost), " ").alias("missing"))
 
 
+@query()
+def all_missing_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers a translation lost, for every translated segment."""
+    s = segments(spark, d).where("source IS NOT NULL AND translated IS NOT NULL")
+    return s.select("doc_id", "seg_id", F.array_join(F.array_sort(X.missing_identifiers(F.col("source"), F.col("translated"), 2**31 - 1)), " ").alias("missing"))
+
+
 @query(f"SELECT doc_id, seg_id, regexp_replace(source, '{_TOK}', '(formula)', 'g') AS context, trim(regexp_replace(source, '\\s+', ' ', 'g'))[1:80] AS preview FROM {_SEG}")
 def context_and_preview(spark: SparkSession, d: str) -> DataFrame:
     """The context without tokens, and the preview."""
