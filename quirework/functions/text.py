@@ -20,6 +20,14 @@ MASKABLE = (
 ANY_TOKEN = "⟦[^⟦⟧\\s]{1,12}⟧"
 MASK_TOKEN = "⟦M[0-9]+⟧"
 FOREIGN = "[\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{30FF}\\x{0400}-\\x{04FF}]"
+# White space of every kind, and the place between two rough sentences.
+_BLANK = "[\\s\\x1c-\\x1f\\x85\\p{Z}]"
+SENTENCE_GAP = f"(?<=[.!?]){_BLANK}+(?=[A-Z⟦(\\[])"
+# Parts of a prompt that an answer may repeat.
+ECHO_MARKERS = (
+    "다음 텍스트를 한국어로 번역하라", "이전 문단(문맥 참고용", "번역문만 출력", "플레이스홀더는 번역하지 말고", "용어집(반드시 이 표기를 따르라", "새 문장처럼 시작하지 말고",
+    "[번역 예시", "[논문 정보", "이전 문단의 번역(", "우리는 ImageNet으로 GPT-4를 파인튜닝하고", "Kim 등이 보였듯이 제안한 손실",
+)
 # Function words of running prose.
 STOPWORDS = tuple(
     "the a an of and or is are was were be been being this that these those it its we our us in on for with as by to from at into over under between during which where when while then than if because since through denotes denote given let holds defined follows following using implies such".split()
@@ -158,13 +166,19 @@ def drop_echo_lines(text: Column, markers: list[str]) -> Column:
     return F.array_join(F.filter(F.split(text, "\n", -1), none), "\n")
 
 
+def strip_blank(text: Column) -> Column:
+    """Drops white space of every kind at both ends."""
+    return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+\\z", "")
+
+
 def strip_leading_label(text: Column, source: Column) -> Column:
-    """Drops a first line that is only a label: ends with a colon, 20 signs at most, more lines follow, and the source's first sentence has no colon."""
-    lines = F.split(text, "\n", -1)
-    first = F.trim(lines[0])
-    rest = F.trim(F.array_join(F.slice(lines, 2, 1_000_000), "\n"))
-    opens = F.split(F.split(F.ltrim(source), "\n", 2)[0], "(?<=[.!?])\\s+(?=[A-Z⟦(\\[])", 2)[0]
-    drop = (F.size(lines) >= 2) & first.rlike("[:：]$") & (F.length(first) <= 20) & ~first.rlike(MASK_TOKEN) & ~opens.rlike("[:：]") & (rest != "")
+    """Drops a first line that is only a label: ends with a colon, 20 signs at most, holds no token or echoed prompt, more lines follow, and the source's first sentence has no colon."""
+    lines = F.split(text, "\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]", -1)
+    first = strip_blank(lines[0])
+    rest = strip_blank(F.array_join(F.slice(lines, 2, 2**31 - 1), "\n"))
+    opens = F.split(F.split(strip_blank(source), "\n", 2)[0], SENTENCE_GAP, 2)[0]
+    echoed = reduce(lambda a, b: a | b, [F.contains(first, F.lit(m)) for m in ECHO_MARKERS])
+    drop = (F.size(lines) >= 2) & first.rlike("[:：]\\z") & (F.length(first) <= 20) & ~first.rlike(MASK_TOKEN) & ~echoed & ~opens.rlike("[:：]") & (rest != "")
     return F.when(drop, rest).otherwise(text)
 
 

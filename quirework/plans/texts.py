@@ -181,11 +181,19 @@ def echo_lines(spark: SparkSession, d: str) -> DataFrame:
   WHERE translated IS NOT NULL AND regexp_matches(source, '^[ -~]*$') AND regexp_matches(translated, '^\\S(.*\\S)?$') AND NOT regexp_matches(source, '[.!?]\\s+[^A-Z⟦(\\[]'))
 SELECT doc_id, seg_id, CASE WHEN contains(head, ':') THEN t ELSE substr(t, 5) END AS text FROM s""")
 def leading_labels(spark: SparkSession, d: str) -> DataFrame:
-    """An added label line is dropped unless the source opens with one."""
+    """X15 on the share that SQL can follow (ASCII sources, translations of one line); all_leading_labels takes every segment."""
     s = segments(spark, d).where("translated IS NOT NULL").where(F.col("source").rlike("^[ -~]*$") & F.col("translated").rlike("^\\S(.*\\S)?$") & ~F.col("source").rlike("[.!?]\\s+[^A-Z⟦(\\[]"))
     return s.select("doc_id", "seg_id", X.strip_leading_label(F.concat(F.lit("요약:\n"), "translated"), F.col("source")).alias("text"))
 
 
+@query()
+def all_leading_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every translation without a label line of its own, and `text`, where one was put before it."""
+    s = segments(spark, d).where("source IS NOT NULL AND translated IS NOT NULL")
+    strip = lambda t: X.strip_leading_label(t, F.col("source"))
+    return s.select("doc_id", "seg_id", strip(F.concat(F.lit("요약:\n"), "translated")).alias("text"), strip(F.col("translated")).alias("cleaned"))
+
+
 @query("""WITH lines AS (SELECT term_id, '- ' || term || ' = ' || rendering AS line FROM glossary UNION ALL SELECT term_id + 1000, term || ' without sign' FROM glossary UNION ALL SELECT term_id + 2000, term || ' = later ' || rendering FROM glossary WHERE term_id < 3),
 parsed AS (SELECT term_id, trim(regexp_extract(c, '^([^=]*)=', 1)) AS term, trim(regexp_extract(c, '^[^=]*=(.*)$', 1)) AS rendering FROM (SELECT term_id, trim(regexp_replace(line, '^\\s*(?:[-*•]|[0-9]+[.)])\\s*', '')) AS c FROM lines) WHERE contains(c, '=')),
 last AS (SELECT term, arg_max(rendering, term_id) AS rendering FROM parsed WHERE term <> '' AND rendering <> '' GROUP BY term)

@@ -40,3 +40,28 @@ def test_identifiers_of_all_translated_segments(spark):
     s = spark.read.parquet(f"{DATA}/segments.parquet").where("translated IS NOT NULL").distinct().collect()
     want = sorted((r["doc_id"], r["seg_id"], " ".join(sorted(lost_identifiers(r["source"], r["translated"])))) for r in s)
     assert sorted(map(tuple, catalog.QUERIES["all_missing_identifiers"](spark, DATA).collect())) == want
+
+
+def without_label(text, source):
+    lines = text.splitlines()
+    if len(lines) < 2:
+        return text
+    first, echoes = lines[0].strip(), X.ECHO_MARKERS
+    opens = re.split(r"(?<=[.!?])\s+(?=[A-Z⟦(\[])", source.lstrip().split("\n", 1)[0], maxsplit=1)[0]
+    if not first.endswith((":", "：")) or len(first) > 20 or re.search(r"⟦M\d+⟧", first) or any(m in first for m in echoes) or ":" in opens or "：" in opens:
+        return text
+    return "\n".join(lines[1:]).strip() or text
+
+
+def test_labels_of_any_text(spark):
+    texts = ["초록:\n본문\n둘째 줄", "\u3000요약：\u00a0\n 본문 \n", "번역문만 출력:\n본문", "[번역 예시:\nx", "⟦M0⟧:\nx", "요약:\r\n본문\r\n끝", "요약:\u2028본문", "요약:\n \u3000\n", "요약:", "x\n요약:\ny", "아주 긴 줄이라 스무 글자를 넘는 표지입니다:\nx", "요약:\n\n본문\u3000", ""]
+    sources = ["Größe — über alles. Next: x", "Überblick: text", "\u3000\nTitle: x", "Ein Satz.\u00a0Zweiter: y", "これは文です。", "⟦EQ1⟧ first. lower: case", "", "Line\nLabel: x", "Note：x"]
+    df = spark.createDataFrame([(t, s) for t in texts for s in sources], "t string, s string").select("t", "s", X.strip_leading_label(F.col("t"), F.col("s")).alias("v"))
+    for r in df.collect():
+        assert r["v"] == without_label(r["t"], r["s"]), (r["t"], r["s"])
+
+
+def test_labels_of_all_translated_segments(spark):
+    s = spark.read.parquet(f"{DATA}/segments.parquet").where("translated IS NOT NULL").distinct().collect()
+    want = sorted((r["doc_id"], r["seg_id"], without_label("요약:\n" + r["translated"], r["source"]), without_label(r["translated"], r["source"])) for r in s)
+    assert sorted(map(tuple, catalog.QUERIES["all_leading_labels"](spark, DATA).collect())) == want
