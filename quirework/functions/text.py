@@ -182,9 +182,10 @@ def strip_leading_label(text: Column, source: Column) -> Column:
     return F.when(drop, rest).otherwise(text)
 
 
-def rough_sentences(text: Column) -> Column:
-    """Sentences behind . ! ? before a capital, token or bracket."""
-    return F.filter(F.transform(F.split(text, "(?<=[.!?])\\s+(?=[A-Z⟦(\\[])", -1), lambda s: F.trim(s)), lambda s: s != "")
+def rough_sentences(text: Column, plain: bool = False) -> Column:
+    """Sentences behind . ! ? before a capital, token or bracket; `plain`: only ASCII blanks divide, and only spaces are cut."""
+    gap, strip = ("(?<=[.!?])\\s+(?=[A-Z⟦(\\[])", F.trim) if plain else (SENTENCE_GAP, strip_blank)
+    return F.filter(F.transform(F.split(text, gap, -1), lambda s: strip(s)), lambda s: s != "")
 
 
 def is_continuation(text: Column) -> Column:

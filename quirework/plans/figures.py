@@ -25,9 +25,8 @@ def captions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_CAPS} SELECT doc_id, key, seg_id, strong FROM caps QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY strong DESC, page, idx) = 1""")
 def chosen_captions(spark: SparkSession, d: str) -> DataFrame:
-    """The caption of each key; one with a mark behind its number beats others, then the first."""
-    c = captions(spark, d).where(F.regexp_extract("source", X.CAPTION, 2).rlike("^[0-9]+$"))
-    c = c.withColumn("strong", F.col("source").rlike("(?i)^\\s*(?:fig(?:ure)?\\.?|table)\\s*[0-9]+\\s*[.:]"))
+    """The caption of each key; one with a mark behind its number beats others, then the first. The SQL knows decimal numbers only."""
+    c = captions(spark, d).withColumn("strong", F.col("source").rlike(f"{X.CAPTION}\\s*[.:]"))
     w = Window.partitionBy("doc_id", "key").orderBy(F.col("strong").desc(), "page", "idx")
     return c.withColumn("k", F.row_number().over(w)).where("k = 1").select("doc_id", "key", "seg_id", "strong")
 

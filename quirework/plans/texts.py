@@ -85,9 +85,9 @@ def list_markers(spark: SparkSession, d: str) -> DataFrame:
   regexp_extract(source, '(?i)^\\s*(fig(?:ure)?\\.?|table)\\s*([0-9]+|[ivxlcdm]+\\b)', 2) AS num FROM segments)
 SELECT doc_id, seg_id, CASE WHEN k LIKE 't%' THEN 'table-' ELSE 'figure-' END || num AS key FROM c WHERE k <> '' AND regexp_matches(num, '^[0-9]+$')""")
 def caption_keys(spark: SparkSession, d: str) -> DataFrame:
-    """The key of every caption; Roman numbers are covered by tests."""
+    """The key of every caption; Roman numbers, which the SQL does not know, are covered by tests."""
     s = segments(spark, d).withColumn("key", X.caption_key(F.col("source"))).where("key IS NOT NULL")
-    return s.where(F.regexp_extract("source", X.CAPTION, 2).rlike("^[0-9]+$")).select("doc_id", "seg_id", "key").distinct()
+    return s.select("doc_id", "seg_id", "key").distinct()
 
 
 _MARKED = r"regexp_replace(text, '([.!?])\s+([A-Z⟦(\[])', '\1' || chr(1) || '\2', 'g')"
@@ -96,8 +96,15 @@ _MARKED = r"regexp_replace(text, '([.!?])\s+([A-Z⟦(\[])', '\1' || chr(1) || '\
 @query(f"""SELECT doc_id, len(list_filter(list_transform(string_split({_MARKED}, chr(1)), lambda s: trim(s)), lambda s: s <> '')) AS n_sentences
 FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[.!?]\\s+[A-Z⟦(\\[][.!?]\\s')""")
 def rough_sentence_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Rough sentences of a document, as used for retries."""
+    """X7 on the share that SQL can follow (no lone capital before a mark, as in '. A. ', and ASCII blanks); all_rough_sentence_counts takes every text."""
     t = table(spark, d, "documents").where("text IS NOT NULL").where(~F.col("text").rlike("[.!?]\\s+[A-Z⟦(\\[][.!?]\\s"))
+    return t.select("doc_id", F.size(X.rough_sentences(F.col("text"), plain=True)).cast("long").alias("n_sentences"))
+
+
+@query()
+def all_rough_sentence_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rough sentences of every document, as used for retries."""
+    t = table(spark, d, "documents").where("text IS NOT NULL")
     return t.select("doc_id", F.size(X.rough_sentences(F.col("text"))).cast("long").alias("n_sentences"))
 
 

@@ -65,3 +65,26 @@ def test_labels_of_all_translated_segments(spark):
     s = spark.read.parquet(f"{DATA}/segments.parquet").where("translated IS NOT NULL").distinct().collect()
     want = sorted((r["doc_id"], r["seg_id"], without_label("요약:\n" + r["translated"], r["source"]), without_label(r["translated"], r["source"])) for r in s)
     assert sorted(map(tuple, catalog.QUERIES["all_leading_labels"](spark, DATA).collect())) == want
+
+
+def rough(text):
+    return [s for s in (p.strip() for p in re.split(r"(?<=[.!?])\s+(?=[A-Z⟦(\[])", text)) if s]
+
+
+def test_rough_sentences_of_any_text(spark):
+    texts = ["A. B. Smith and C. Doe. J. Res. 12. Next", "See p. 3. (A. Note.) [B. c] ⟦EQ1⟧. ⟦EQ2⟧.", "One.\u00a0Two!\u3000Three? four.\n\nFive", "\u3000. A. ", "Ende. Überall. Ja. Ok", "", " ", "これ。A. B"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.rough_sentences(F.col("t")).alias("v"))
+    for r in df.collect():
+        assert r["v"] == rough(r["t"]), r["t"]
+
+
+def test_rough_sentences_of_all_documents(spark):
+    s = spark.read.parquet(f"{DATA}/documents.parquet").where("text IS NOT NULL").collect()
+    assert sorted(map(tuple, catalog.QUERIES["all_rough_sentence_counts"](spark, DATA).collect())) == sorted((r["doc_id"], len(rough(r["text"]))) for r in s)
+
+
+def test_roman_captions_have_keys(spark, tmp_path):
+    rows = [("d", 0, "p0_s0", "caption", "Table IV shows", None, "done", "[0,0,1,1]"), ("d", 1, "p1_s0", "caption", "TABLE IV. Data", None, "done", "[0,0,1,1]"), ("d", 1, "p1_s1", "caption", "Fig. 12: x", None, "done", "[0,0,1,1]")]
+    spark.createDataFrame(rows, "doc_id string, page int, seg_id string, kind string, source string, translated string, status string, bbox string").write.parquet(f"{tmp_path}/segments.parquet")
+    assert {(r["seg_id"], r["key"]) for r in catalog.QUERIES["caption_keys"](spark, str(tmp_path)).collect()} == {("p0_s0", "table-4"), ("p1_s0", "table-4"), ("p1_s1", "figure-12")}
+    assert {tuple(r) for r in catalog.QUERIES["chosen_captions"](spark, str(tmp_path)).collect()} == {("d", "table-4", "p1_s0", True), ("d", "figure-12", "p1_s1", True)}
