@@ -1,11 +1,15 @@
-"""Text expressions that stay inside the JVM: masking, splitting, joining, labels, identifiers, guards."""
+"""Text expressions that stay inside the JVM (but for large glossaries): masking, splitting, joining, labels, identifiers, guards."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 # Untranslatable tokens, tried in this order (placeholder, link, e-mail, DOI, preprint id, citation).
 MASKABLE = (
@@ -265,17 +269,59 @@ def quoted_title(entry: Column) -> Column:
     return F.when(t != "", t)
 
 
-def with_terms(docs: DataFrame, column: str, terms: DataFrame, keep: list[str], limit: int = 5_000) -> DataFrame:
-    """The terms (term, rendering) that occur in each text, whatever their case: `keep` columns, term, rendering.
+def with_terms(docs: DataFrame, column: str, terms: DataFrame, keep: list[str], limit: int = 5_000, block: int = 200_000) -> DataFrame:
+    """The terms (term, rendering) that occur anywhere in each text, whatever their case: `keep` columns, term, rendering.
 
-    A glossary of at most `limit` terms, checked, is tried on every text without a join; a larger one is joined on
-    the first word of the term, which must then begin a word of the text.
+    A glossary of at most `limit` terms, checked, is tried on every text in the JVM. A larger one goes to the workers
+    in blocks of about `block` terms and is looked up at every place of a text by its first signs; the rows are the same.
     """
     rows = terms.limit(limit + 1).collect()
     low = F.lower(F.col(column))
     if len(rows) <= limit:
         listed = F.array(*[F.struct(F.lit(r["term"]).alias("term"), F.lit(r["rendering"]).alias("rendering")) for r in rows]) if rows else F.array().cast("array<struct<term:string,rendering:string>>")
         return docs.select(*keep, F.inline(F.filter(listed, lambda x: F.contains(low, F.lower(x["term"])))))
-    heads = docs.select(*keep, low.alias("__low"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[\\p{L}\\d]+"), F.lit(0)))).alias("__head"))
-    keyed = terms.withColumn("__head", F.regexp_extract(F.lower("term"), "^[^\\p{L}\\d]*([\\p{L}\\d]+)", 1))
-    return heads.join(keyed, "__head").where(F.contains("__low", F.lower("term"))).select(*keep, "term", "rendering").distinct()
+    base = docs.where(F.col(column).isNotNull()).select(*keep, low.alias("__low"))
+    schema = StructType([f for f in base.schema.fields if f.name != "__low"]).add("term", StringType()).add("rendering", StringType())
+    # case is folded in the JVM on both sides, as for small glossaries
+    folded = terms.where("term IS NOT NULL").select("term", "rendering", F.lower("term").alias("__low"))
+    n = max(1, -(-folded.count() // block))
+    parts = []
+    for k in range(n):
+        got = folded.where(F.pmod(F.xxhash64("__low"), F.lit(n)) == k).collect()
+        parts.append(base.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast([tuple(r) for r in got])), schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
+HEAD = 3  # signs by which terms are looked up
+
+
+def _finder(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Finds the terms (term, rendering, lower case) in the column __low of batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[str, list[tuple[str, str | None]]] = {}
+        sizes: dict[str, set[int]] = {}  # lengths of the terms that begin with these signs
+        short = []
+        for term, rendering, low in shared.value:
+            if low not in whole and len(low) < HEAD:
+                short.append(low)
+            whole.setdefault(low, []).append((term, rendering))
+            if len(low) >= HEAD:
+                sizes.setdefault(low[:HEAD], set()).add(len(low))
+        for batch in batches:
+            take, terms, renderings = [], [], []
+            for i, text in enumerate(batch.column("__low").to_pylist()):
+                found = {x for x in short if x in text}
+                for at in range(len(text) - HEAD + 1):
+                    for size in sizes.get(text[at : at + HEAD], ()):
+                        if text[at : at + size] in whole:
+                            found.add(text[at : at + size])
+                for x in found:
+                    for term, rendering in whole[x]:
+                        take.append(i)
+                        terms.append(term)
+                        renderings.append(rendering)
+            part = batch.drop_columns(["__low"]).take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(terms, pa.string()), pa.array(renderings, pa.string())], [*part.schema.names, "term", "rendering"])
+
+    return run

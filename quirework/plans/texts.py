@@ -206,16 +206,24 @@ parsed AS (SELECT term_id, trim(regexp_extract(c, '^([^=]*)=', 1)) AS term, trim
 last AS (SELECT term, arg_max(rendering, term_id) AS rendering FROM parsed WHERE term <> '' AND rendering <> '' GROUP BY term)
 SELECT d.doc_id, l.term, l.rendering FROM documents d JOIN last l ON contains(lower(d.text), lower(l.term)) WHERE d.doc_kind = 'abstract'""")
 def glossary_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Term lines are parsed, later ones win, and only terms that occur in the text stay."""
+    """X16 and X17 on abstracts, as the SQL has it: term lines are parsed, later ones win, and only terms that occur in the text stay. all_glossary_terms takes every document."""
+    return X.with_terms(table(spark, d, "documents").where("doc_kind = 'abstract'"), "text", _parsed_terms(spark, d), ["doc_id"])
+
+
+@query()
+def all_glossary_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of parsed term lines that occur in each document of any kind."""
+    return X.with_terms(table(spark, d, "documents"), "text", _parsed_terms(spark, d), ["doc_id"])
+
+
+def _parsed_terms(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "glossary")
     lines = g.select("term_id", F.concat(F.lit("- "), "term", F.lit(" = "), "rendering").alias("line"))
     lines = lines.unionByName(g.select((F.col("term_id") + 1000).alias("term_id"), F.concat("term", F.lit(" without sign")).alias("line")))
     lines = lines.unionByName(g.where("term_id < 3").select((F.col("term_id") + 2000).alias("term_id"), F.concat("term", F.lit(" = later "), "rendering").alias("line")))
     clean = lines.select("term_id", F.trim(F.regexp_replace("line", "^\\s*(?:[-*•]|[0-9]+[.)])\\s*", "")).alias("c")).where(F.contains("c", F.lit("=")))
     parsed = clean.select("term_id", F.trim(F.regexp_extract("c", "^([^=]*)=", 1)).alias("term"), F.trim(F.regexp_extract("c", "^[^=]*=(.*)$", 1)).alias("rendering")).where("term <> '' AND rendering <> ''")
-    last = parsed.groupBy("term").agg(F.max_by("rendering", "term_id").alias("rendering"))
-    docs = table(spark, d, "documents").where("doc_kind = 'abstract'")
-    return X.with_terms(docs, "text", last, ["doc_id"])
+    return parsed.groupBy("term").agg(F.max_by("rendering", "term_id").alias("rendering"))
 
 
 @query(f"""WITH s AS (SELECT *, CAST(regexp_extract(seg_id, '_s([0-9]+)$', 1) AS INT) AS idx FROM {_SEG}),

@@ -88,3 +88,21 @@ def test_roman_captions_have_keys(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id string, page int, seg_id string, kind string, source string, translated string, status string, bbox string").write.parquet(f"{tmp_path}/segments.parquet")
     assert {(r["seg_id"], r["key"]) for r in catalog.QUERIES["caption_keys"](spark, str(tmp_path)).collect()} == {("p0_s0", "table-4"), ("p1_s0", "table-4"), ("p1_s1", "figure-12")}
     assert {tuple(r) for r in catalog.QUERIES["chosen_captions"](spark, str(tmp_path)).collect()} == {("d", "table-4", "p1_s0", True), ("d", "figure-12", "p1_s1", True)}
+
+
+def test_terms_are_found_alike_whatever_the_glossary_size(spark):
+    texts = ["Subgraphs and GRAPHS", "hypergraph", "misstep sizes", "ΣΤΟΧΟΣ λόγος", "그래프이론", "", None, "a–b graph", "ΑΣ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    listed = [("graph", "a"), ("Step Size", "b"), ("step size", "b2"), ("στόχος", "c"), ("이론", "d"), ("–", "e"), ("b", None), ("graphs and graphs", "f"), ("none", "g"), ("Λόγος", "h"), ("ΑΣ", "i")]
+    terms = spark.createDataFrame(listed, "term string, rendering string")
+    want = sorted(((i, t, r) for i, x in enumerate(texts) if x is not None for t, r in listed if t.lower() in x.lower()), key=repr)
+    for sizes in ({}, {"limit": 1}, {"limit": 1, "block": 3}):
+        assert sorted(map(tuple, X.with_terms(docs, "text", terms, ["id"], **sizes).collect()), key=repr) == want, sizes
+
+
+def test_terms_of_all_documents(spark):
+    g = spark.read.parquet(f"{DATA}/glossary.parquet").collect()
+    last = {r["term"].strip(): f"later {r['rendering']}".strip() if r["term_id"] < 3 else r["rendering"].strip() for r in g}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("text IS NOT NULL").collect()
+    want = sorted((r["doc_id"], t, v) for r in docs for t, v in last.items() if t.lower() in r["text"].lower())
+    assert len({r["doc_kind"] for r in docs}) > 1 and sorted(map(tuple, catalog.QUERIES["all_glossary_terms"](spark, DATA).collect())) == want
