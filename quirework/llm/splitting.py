@@ -3,7 +3,8 @@
 Method: ranges of a text are processed on their own, with halos. The place where one range hands over to the next
 is the strongest boundary in the halo, which both neighbours find alike; each range tabulates its boundaries with
 running token sums, cuts its pieces by offset, and the numbers of pieces before each range are summed up, so no
-worker needs the whole of a giant text.
+worker needs the whole of a giant text. A range begins to count far enough before its first place that the pieces
+at the seam share the whole overlap too. A range's last piece ends at the hand-over, so it may be smaller than others.
 
 Boundaries by strength: behind a blank line, a line end, a sentence end, a blank, and last any place between two
 pre-tokens or, inside a giant pre-token, between two pieces that no merge crosses.
@@ -29,6 +30,7 @@ from .tokenizer import FOLDER, MEMORY, RANK_FILE, Encoder, SharedEncoder
 
 RANGE = 1 << 17
 HALO = 1 << 13
+LONGEST = 128  # fixed value: the most bytes, so the most signs, of a vocabulary string
 
 _SENTENCE = regex.compile(r"[.!?。！？।॥…]+[\"”’»)\]」』]*$")
 
@@ -50,18 +52,36 @@ def _strength(before: str, piece: str) -> int:
     return 0
 
 
+# Sure places by strength.
+_SURE = ("\n\\s*\n(?=\\S)", "\n(?=\\S)", "[.!?][\"”’»)]* (?=\\p{L})", "[。！？।](?=\\p{L})", "(?<=[\\p{L}\\p{N}])(?=\\s)")
+
+
+def _behind(m: regex.Match) -> int:
+    """The end of a sure place; a blank before a word belongs to the word's pre-token."""
+    end = m.end()
+    return end - 1 if end > 1 and m.string[end - 1] == " " else end
+
+
 def handover(text: str, at: int) -> int:
     """The strongest sure place from `at` on, within the halo; sure: a blank ends there and a word begins, or a word ends."""
     window = text[at : at + HALO]
-    for pattern in ("\n\\s*\n(?=\\S)", "\n(?=\\S)", "[.!?][\"”’»)]* (?=\\p{L})", "[。！？।](?=\\p{L})", "(?<=[\\p{L}\\p{N}])(?=\\s)"):
+    for pattern in _SURE:
         m = regex.search(pattern, window)
         if m:
-            # a blank before a word belongs to the word's pre-token
-            end = m.end()
-            return at + (end - 1 if window[end - 1] == " " and end > 1 else end)
+            return at + _behind(m)
     return min(len(text), at + HALO)
 
 
+def lead_in(enc: Encoder, text: str, first: int, overlap: int) -> int:
+    """A place from which `overlap` tokens or more are counted before `first`: sure if there is one, else the start of `text`."""
+    for at in dict.fromkeys((max(0, first - 2 * HALO), 0)):
+        m = regex.search(_SURE[-1], text, pos=at, endpos=first)
+        # one token more, for a run of blanks that is divided anew where the text ends
+        if m and enc.count(text[m.end() : first]) > overlap:
+            return m.end()
+    return 0
+
+
 def boundaries(enc: Encoder, text: str, limit: int) -> tuple[list[int], list[int], list[int]]:
     """Offsets, token sums and strengths of all places where a cut may be made, the ends included.
 
@@ -158,7 +178,7 @@ def cut_pieces(enc: Encoder, text: str, limit: int, overlap: int, first: int = 0
     if not first and sums[-1] <= limit and small_too is False:
         return []
     out: list[tuple[int, int, int]] = []
-    begin = bisect_left(at, first)
+    begin = max(0, bisect_right(at, first) - 1)
     start = _shared_start(at, sums, begin, overlap) if first else 0
     done = begin
     while done < n:
@@ -200,10 +220,11 @@ def split_texts(df: DataFrame, limit: int, overlap: int, column: str = "text", k
     A text with no more bytes than the limit has no more tokens, and stays in the JVM.
     """
     enc = SharedEncoder(df.sparkSession, folder, name)
+    lead = HALO + overlap * LONGEST  # signs before a range: the overlap at its longest, and a halo
     long = df.select(F.col(key), F.col(column).alias("__t")).where(F.octet_length("__t") > limit).withColumn("__n", F.length("__t"))
     parts = F.when(F.col("__n") <= span + HALO, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - HALO - 1) / span)))
-    ranges = long.select(key, "__t", "__n", F.explode(parts).alias("__r")).withColumn("__from", F.greatest(F.col("__r") * span - HALO, F.lit(0)))
-    ranges = ranges.withColumn("__w", F.when(F.col("__n") <= span + HALO, F.col("__t")).otherwise(F.expr(f"substring(__t, cast(__from + 1 as int), {span + 3 * HALO})"))).select(key, "__n", "__r", "__from", "__w")
+    ranges = long.select(key, "__t", "__n", F.explode(parts).alias("__r")).withColumn("__from", F.greatest(F.col("__r") * span - lead, F.lit(0)))
+    ranges = ranges.withColumn("__w", F.when(F.col("__n") <= span + HALO, F.col("__t")).otherwise(F.expr(f"substring(__t, cast(__from + 1 as int), {lead + span + 2 * HALO})"))).select(key, "__n", "__r", "__from", "__w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = enc.get()
@@ -217,8 +238,7 @@ def split_texts(df: DataFrame, limit: int, overlap: int, column: str = "text", k
                     first = handover(text, r * span - base) if r else 0
                     last = base + len(text) >= n and (r + 1) * span + HALO >= n
                     stop = len(text) if last else handover(text, (r + 1) * span - base)
-                    # from the last sure place before the shared part
-                    back = handover(text, 0) if r else 0
+                    back = lead_in(e, text, first, overlap) if r else 0
                     got = [(s + back, t + back, c) for s, t, c in cut_pieces(e, text[back:stop], limit, overlap, first - back)]
                 for k, (s, t, c) in enumerate(got):
                     keys.append(i)
