@@ -72,7 +72,7 @@ def figure_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def text_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of text tables under their captions."""
+    """W10, and C6 in part: lines of text tables under their captions, else above them."""
     return folds.table_lines(captions(spark, d).where(F.col("key").startswith("table")), lines(spark, d))
 
 
@@ -97,7 +97,7 @@ def box_json(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH h AS (SELECT doc_id, page, seg_id, source, {_BOX} AS b FROM {_SEG} WHERE page = 0 AND kind <> 'header_footer'), t AS (SELECT doc_id, max(b[4] - b[2]) AS tall FROM h GROUP BY doc_id)
 SELECT doc_id, arg_min(seg_id, seg_id) AS title_seg FROM h JOIN t USING (doc_id) WHERE b[4] - b[2] = tall GROUP BY doc_id""")
 def page_titles(spark: SparkSession, d: str) -> DataFrame:
-    """The tallest box of the first page."""
+    """O5, and the title that C3 starts from: the tallest box of the first page."""
     h = segs(spark, d).where("page = 0 AND kind <> 'header_footer'").withColumn("tall", F.col("y1") - F.col("y0"))
     t = h.groupBy("doc_id").agg(F.max("tall").alias("most"))
     return h.join(t, "doc_id").where("tall = most").groupBy("doc_id").agg(F.min("seg_id").alias("title_seg"))

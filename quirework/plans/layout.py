@@ -228,12 +228,33 @@ def previous_sources(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_SEGB}, b AS (SELECT *, sum(length(source)) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used FROM segs WHERE kind = 'body' AND page = 0)
 SELECT doc_id, seg_id, source[1:CAST(2000 - coalesce(used, 0) AS BIGINT)] AS sample FROM b WHERE coalesce(used, 0) < 2000""")
 def sample_within_budget(spark: SparkSession, d: str) -> DataFrame:
-    """First-page texts up to a budget of 2000 signs, the last one cut."""
+    """The opening of W15: first-page texts up to a budget of 2000 signs, the last one cut; glossary_samples has the whole sample."""
     w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     b = segs(spark, d).where("kind = 'body' AND page = 0").withColumn("used", F.coalesce(F.sum(F.length("source")).over(w), F.lit(0)))
     return b.where("used < 2000").select("doc_id", "seg_id", F.expr("substring(source, 1, cast(2000 - used as int))").alias("sample"))
 
 
+SAMPLE = 6000  # signs of a glossary sample
+
+
+@query()
+def glossary_samples(spark: SparkSession, d: str) -> DataFrame:
+    """One sample for each document: headings, the opening of the first page, the first text behind each heading on later pages, captions."""
+    s = segs(spark, d).withColumn("source", F.coalesce("source", F.lit("")))
+    block = F.floor(F.col("page") / PAGE_BLOCK)
+    part = lambda df, place, size: df.select("doc_id", F.lit(place).alias("place"), "page", "idx", F.substring("source", 1, size).alias("part"))
+    w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    opening = s.where("kind = 'body' AND page = 0").withColumn("used", F.coalesce(F.sum(F.length("source")).over(w), F.lit(0))).where("used < 2000")
+    opening = opening.withColumn("source", F.expr("substring(source, 1, cast(2000 - used as int))"))
+    behind = blocks.lag(s.where("kind IN ('heading', 'body')"), ["doc_id"], block, ["page", "idx"], "kind", "before").where("kind = 'body' AND before = 'heading' AND page > 0")
+    parts = part(s.where("kind = 'heading'"), 0, SAMPLE).unionByName(part(opening, 1, 2000)).unionByName(part(behind, 2, 400)).unionByName(part(s.where("kind = 'caption'"), 3, 200))
+    # each part takes a sign at least, its line end: no more of them can fit, whatever the document's size
+    first = blocks.rank(parts, ["doc_id", "place"], block, ["page", "idx"]).where(F.col("rank") <= SAMPLE)
+    joined = first.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "page", "idx", "part"))).alias("parts"))
+    sample = F.substring(F.array_join(F.transform("parts", lambda x: x["part"]), "\n"), 1, SAMPLE)
+    return s.select("doc_id").distinct().join(joined.select("doc_id", sample.alias("sample")), "doc_id", "left").select("doc_id", F.coalesce("sample", F.lit("")).alias("sample"))
+
+
 @query(f"""WITH {_SEGB}, t AS (SELECT *, max(CASE WHEN kind = 'reference' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM segs)
 SELECT doc_id, seg_id, coalesce(seen, 0) = 1 AS in_references FROM t""")
 def reference_section(spark: SparkSession, d: str) -> DataFrame:

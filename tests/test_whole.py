@@ -1,10 +1,12 @@
 """Operators on inputs that the queries with SQL leave out, against brute force."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from quirework.functions import text as X
+from quirework.operators import folds
 from quirework.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -106,3 +108,42 @@ def test_terms_of_all_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("text IS NOT NULL").collect()
     want = sorted((r["doc_id"], t, v) for r in docs for t, v in last.items() if t.lower() in r["text"].lower())
     assert len({r["doc_kind"] for r in docs}) > 1 and sorted(map(tuple, catalog.QUERIES["all_glossary_terms"](spark, DATA).collect())) == want
+
+
+def glossary_sample(segs):
+    parts = [s for k, _, s in segs if k == "heading"]
+    size = 0
+    for k, page, s in segs:
+        if k == "body" and page == 0 and size < 2000:
+            parts.append(s[: 2000 - size])
+            size += len(parts[-1])
+    after = False
+    for k, page, s in segs:
+        if k == "heading":
+            after = True
+        elif k == "body" and after:
+            if page > 0:
+                parts.append(s[:400])
+            after = False
+    return "\n".join(parts + [s[:200] for k, _, s in segs if k == "caption"])[:6000]
+
+
+def test_glossary_samples_hold_all_parts(spark, tmp_path):
+    rng = random.Random(5)
+    docs = {"empty": [("formula", 0, "x")], "late": [("heading", 3, "H"), ("caption", 3, "Figure 1. " + "c" * 300), ("body", 4, "b" * 500), ("body", 4, "no")]}
+    for n in range(12):
+        kinds = rng.choices(["heading", "body", "caption", "formula", "header_footer"], k=rng.choice([3, 20, 60]))
+        docs[f"d{n}"] = [(k, page, f"{k}{i} " * rng.choice([0, 1, 9, 120])) for i, (k, page) in enumerate(zip(kinds, sorted(rng.choices([0, 0, 1, 2, 300], k=len(kinds))), strict=True))]
+    docs["many"] = [("heading", i // 100, "") for i in range(7000)] + [("caption", 80, "gone")]
+    rows = [(d, page, f"p{page}_s{i}", k, s, None, "done", "[0,0,1,1]") for d, x in docs.items() for i, (k, page, s) in enumerate(x)]
+    spark.createDataFrame(rows, "doc_id string, page int, seg_id string, kind string, source string, translated string, status string, bbox string").write.parquet(f"{tmp_path}/segments.parquet")
+    got = {r["doc_id"]: r["sample"] for r in catalog.QUERIES["glossary_samples"](spark, str(tmp_path)).collect()}
+    assert got == {d: glossary_sample(x) for d, x in docs.items()}
+
+
+def test_text_table_above_its_caption(spark):
+    box = "doc_id string, page int, {} string, x0 double, y0 double, x1 double, y1 double"
+    lines = [("d", 0, f"1.{i} 2.{i}", 100.0, 100.0 + 12 * i, 300.0, 110.0 + 12 * i) for i in range(4)] + [("d", 0, "far", 100.0, 20.0, 300.0, 30.0), ("d", 1, "1 2", 100.0, 60.0, 300.0, 70.0), ("d", 1, "3 4", 100.0, 100.0, 300.0, 110.0)]
+    caps = [("d", 0, "table-1", 100.0, 152.0, 300.0, 162.0), ("d", 1, "table-2", 100.0, 80.0, 300.0, 90.0)]
+    got = folds.table_lines(spark.createDataFrame(caps, box.format("key")), spark.createDataFrame(lines, box.format("text"))).collect()
+    assert {tuple(r)[2:] for r in got} == {("table-1", 4, 146.0, 100.0, "above"), ("table-2", 1, 110.0, 100.0, "below")}
