@@ -186,7 +186,8 @@ class LookTrie:
         return [(key, entry, 0) for key, entry in node.get("", ())]
 
 
-_UNIFY = Looks(kana=False)
+_UNIFY, _ALL = Looks(kana=False), Looks()
+_BLANKS = str.maketrans("\t\n\r\x0b\x0c", " " * 5)
 _CYRILLIC = {v: k for k, v in _LOOKS.items() if "\u0400" <= k <= "\u045f" and len(v) == 1}
 _GREEK = {v: k for k, v in _LOOKS.items() if "\u0391" <= k <= "\u03c9" and len(v) == 1}
 _OTHER_SCRIPT = re.compile("[\u0370-\u052f]")
@@ -206,19 +207,29 @@ def _spelled(m: re.Match[str]) -> str:
 
 
 def unify(text: str | None) -> str | None:
-    """One spelling for every text of the same look, from the table alone; it depends on the look only."""
-    if text is None or text.isascii():
-        return text
-    looked = _UNIFY.of(text)
+    """One spelling for every text of the same look, from the table alone; blanks are spaces, none at the ends.
+
+    Only kana and the Han signs that look like them stay apart: the table can't tell which of them a text means.
+    """
+    if text is None:
+        return None
+    if text.isascii():
+        return text.translate(_BLANKS).strip(" ")
+    looked = _UNIFY.of(text).strip(" ")
     if _OTHER_SCRIPT.search(looked):
         looked = _WORD.sub(_spelled, looked)
     return unicodedata.normalize("NFC", looked)
 
 
+def look_of(text: str | None) -> str | None:
+    """The look of a whole text as the trie has it; null if there is nothing to see."""
+    return _ALL.of(text).strip(" ") or None if text is not None else None
+
+
 def _trie_of(vocabulary: DataFrame, key: str, text: str, limit: int) -> list[tuple[int, str]]:
     rows = vocabulary.select(key, text).where(F.col(text).isNotNull()).distinct().limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"the vocabulary has more than {limit} entries; match it by joining on the unified look instead")
+        raise ValueError(f"the vocabulary has more than {limit} entries; match it by joining on the look instead")
     return sorted((r[0], r[1]) for r in rows)
 
 
@@ -260,8 +271,8 @@ def matches(df: DataFrame, column: str, vocabulary: DataFrame, *, key: str = "re
 
 
 def join_looks(df: DataFrame, column: str, vocabulary: DataFrame, *, key: str = "ref_id", entry: str = "text") -> DataFrame:
-    """The same matches for a vocabulary of any size, as an equi-join on the unified look."""
-    u = F.udf(unify)
+    """The same matches for a vocabulary of any size, as an equi-join on the look."""
+    u = F.udf(look_of)
     left = df.withColumn("__look", u(F.col(column)))
     right = vocabulary.select(F.col(key), F.col(entry).alias("canonical"), u(F.col(entry)).alias("__look"))
     return left.join(right, "__look").where(F.col(column) != F.col("canonical")).drop("__look")
@@ -288,12 +299,21 @@ class _Holder:
         return self.trie
 
 
-def unify_column(df: DataFrame, column: str, to: str = "unified") -> DataFrame:
-    """Adds the one form of each text's look; ASCII texts are in it already and stay in the JVM."""
+def unify_column(df: DataFrame, column: str, to: str = "unified", vocabulary: DataFrame | None = None, *, key: str = "ref_id", entry: str = "text", limit: int = 200_000) -> DataFrame:
+    """Adds the one form of each text's look: the spelling of the vocabulary's entry it looks like (of several the
+    one of the least key), else the form by table. Without a vocabulary ASCII texts stay in the JVM."""
+    holder = None if vocabulary is None else _Holder(_trie_of(vocabulary, key, entry, limit))
+
+    def one(text: str | None) -> str | None:
+        hits = holder.get().walk(text) if holder and text is not None else ()
+        return min(hits)[1] if hits else unify(text)
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(unify)
+        return texts.map(one)
 
+    if holder:
+        return df.withColumn(to, run(F.col(column)))
     odd = F.col(column).rlike("[^\\x00-\\x7f]")
-    return df.withColumn(to, F.when(odd, run(F.when(odd, F.col(column)))).otherwise(F.col(column)))
+    plain = F.trim(F.translate(F.col(column), "\t\n\r\x0b\x0c", " " * 5))
+    return df.withColumn(to, F.when(odd, run(F.when(odd, F.col(column)))).otherwise(plain))

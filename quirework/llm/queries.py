@@ -57,8 +57,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_unified(spark: SparkSession, d: str) -> DataFrame:
-    """Every text in the one form of its look."""
-    return lookalike.unify_column(_records(spark, d), "text").select("tbl", "doc_id", "rec", "unified").distinct()
+    """Every text in the one form of its look; what looks like a house text takes its spelling."""
+    house = table(spark, d, "house_texts").withColumnRenamed("text", "house_text")
+    return lookalike.unify_column(_records(spark, d), "text", vocabulary=house, entry="house_text").select("tbl", "doc_id", "rec", "unified").distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

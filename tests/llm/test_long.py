@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from quirework.llm import align, splitting, tokenizer
+from quirework.llm import align, lookalike, splitting, tokenizer
 from quirework.session import ship
 
 
@@ -79,3 +79,20 @@ def test_pieces_of_ranges_share_the_whole_overlap(spark):
             assert a["start_char"] < b["start_char"] <= a["end_char"] < b["end_char"]
             shared = enc.count(t[b["start_char"] : a["end_char"]])
             assert shared >= 64, (k, a["piece_no"], a["end_char"], shared)
+
+
+def test_house_texts_give_their_spelling(spark):
+    ship(spark)
+    house = spark.createDataFrame([(1, "パラメータ表"), (2, "Search tree"), (3, "Façade"), (4, "Search trее")], "ref_id int, text string")
+    texts = ["パラメ一夕表", " Search\ttree\n", "Sеarch tree", "Fac\u0327ade ", "データ", "\tplain  text ", "\u200b", "", None, "ﬁne\u3000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = [r["unified"] for r in lookalike.unify_column(df, "text", vocabulary=house).orderBy("id").collect()]
+    assert got == ["パラメータ表", "Search tree", "Search tree", "Façade", "データ", "plain  text", "", "", None, "fine"]
+    table = [r["unified"] for r in lookalike.unify_column(df, "text").orderBy("id").collect()]
+    assert table == [lookalike.unify(t) for t in texts] and table[1] == "Search tree"
+    # the join finds what the trie finds
+    odd = df.where("id NOT IN (1)")  # matches() leaves ASCII without tabs and line ends in the JVM
+    for part in (df, odd):
+        one = sorted((r["id"], r["ref_id"]) for r in lookalike.matches(part, "text", house).collect())
+        two = sorted((r["id"], r["ref_id"]) for r in lookalike.join_looks(part, "text", house).collect())
+        assert one == two and (0, 1) in one and (3, 3) in one
