@@ -5,8 +5,11 @@ refusal cues are found by an Aho-Corasick automaton; a delimiter stack and the e
 scripts and stopwords show the language. A pair gets the first defect of: empty, refusal, copy, wrong_language,
 truncated.
 
-A cheap test inside the JVM lets through only pairs that could be defective: it keeps every response that is not
-plainly Korean, that ends other than with a full sentence, has unpaired delimiters or holds a refusal cue.
+Every pair goes through the same steps; nothing is sorted out before by a rougher test. What is costly is only done
+where it can change the answer: names and tokens are taken out of a text only if its letters do not clearly belong to
+one script, and the suffix automaton is built only for a response in the script of the prompt.
+
+The language a response should have is a parameter, a code or a column.
 
 Defined results: a null response is empty; a null or wordless prompt can be neither copied nor truncated.
 """
@@ -14,10 +17,14 @@ Defined results: a null response is empty; a null or wordless prompt can be neit
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -28,6 +35,7 @@ DEFECTS = ("empty", "truncated", "refusal", "copy", "wrong_language")
 COPY_SHARE = 0.8  # of the response's signs must lie in copied stretches
 COPY_STRETCH = 12  # shortest stretch that counts as copied
 LANGUAGE_SHARE = 0.5
+CLEAR_SHARE = 0.85  # of the letters of a text in one script: names and tokens cannot turn the vote
 
 # Refusal cues. o: names the request or text; d: declines; s: the speaker is a model; f: does all at once.
 _CUES: dict[str, list[str]] = {
@@ -68,13 +76,20 @@ STOPWORDS = {
     "tr": frozenset("ve bir bu için ile olarak da de çok daha en gibi kadar sonra ancak".split()),
     "id": frozenset("yang dan di dari untuk dengan pada adalah ini itu tidak dalam akan".split()),
 }
-_SCRIPTS = (
-    ("ko", regex.compile(r"\p{Hangul}")), ("kana", regex.compile(r"[\p{Hiragana}\p{Katakana}ー]")), ("han", regex.compile(r"\p{Han}")), ("th", regex.compile(r"\p{Thai}")), ("hi", regex.compile(r"\p{Devanagari}")),
-    ("ru", regex.compile(r"\p{Cyrillic}")), ("el", regex.compile(r"\p{Greek}")), ("ar", regex.compile(r"\p{Arabic}")), ("he", regex.compile(r"\p{Hebrew}")), ("latin", regex.compile(r"\p{Latin}")),
-)
+# The language of scripts that one language mainly uses; other scripts stand for themselves.
+_LANGUAGES = {"HANGUL": "ko", "THAI": "th", "DEVANAGARI": "hi", "CYRILLIC": "ru", "GREEK": "el", "ARABIC": "ar", "HEBREW": "he", "LATIN": "latin", "CJK": "han", "IDEOGRAPHIC": "han", "HIRAGANA": "kana", "KATAKANA": "kana", "KATAKANA-HIRAGANA": "kana"}
+# A syllable or a Han character carries as much as two or three Latin letters.
+_WEIGHTS = {"ko": 2.2, "kana": 2.2, "han": 2.2, "latin": 1.0}
+# Scripts of names and tokens.
+_NAMING = frozenset({"latin", "el", "ru"})
+# Scripts written without marks at the end of a sentence.
+_MARKLESS = frozenset({"th", "lao", "khmer", "myanmar"})
 _TOKEN = regex.compile(r"⟦[^⟧]*⟧|https?://\S+|\S+@\S+\.\S+|\[[\d,\s–-]*\]|\bv\.\s*\d[\d.]*")
+_LETTER, _SAYING, _WORDS = regex.compile(r"\p{L}"), regex.compile(r"[\p{L}\p{N}]"), regex.compile(r"[\p{L}']+")
+_INVISIBLE, _SQUEEZED = regex.compile(r"[\p{Cf}\s]+"), regex.compile(r"[\s\p{Cf}\"'“”‘’«»]+")
+_MASK = re.compile(r"⟦[^⟧]*⟧")
 _FIGURE = regex.compile(r"\d[\d.,]*\s*(?:%|k?Hz|dB)?")
-_NAME = regex.compile(r"(?<![\p{L}\d])(?:\p{Lu}{2,}[\p{L}\d]*(?:-\d+)?|\p{L}+-?\d[\p{L}\d-]*|\p{Lu}\p{Ll}+(?:\p{Lu}[\p{L}]*)+|\p{L}*\p{Ll}\p{Lu}[\p{L}\d]*)(?![\p{L}\d])")
+_NAME = regex.compile(r"(?<![\p{L}\d])(?:\p{Lu}{2,}[\p{L}\d]*(?:-\d+)?|[\p{Latin}\p{Greek}\p{Cyrillic}]+-?\d[\p{Latin}\p{Greek}\p{Cyrillic}\d-]*|\p{Lu}\p{Ll}+(?:\p{Lu}[\p{L}]*)+|\p{L}*\p{Ll}\p{Lu}[\p{L}\d]*)(?![\p{L}\d])")
 
 
 class SuffixAutomaton:
@@ -134,11 +149,11 @@ class SuffixAutomaton:
 
 
 @cache
-def _refusals() -> ahocorasick.Automaton:
+def _refusals(kinds: str) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, cues in _CUES.items():
-        for cue in cues:
-            a.add_word(cue, (kind, cue))
+    for kind in kinds:
+        for cue in _CUES[kind]:
+            a.add_word(cue, kind)
     a.make_automaton()
     return a
 
@@ -149,56 +164,134 @@ _CLAUSE = regex.compile(r"[^.!?。！？।\n※]*[.!?。！？।\n]*")
 def is_refusal(text: str) -> bool:
     """A sentence that declines and speaks of the request or of the speaker, and reports nobody else's words."""
     low = text.lower().replace("’", "'")
-    automaton = _refusals()
-    if not any(k == "d" for _, (k, _) in automaton.iter(low)):
+    if next(_refusals("d").iter(low), None) is None:
         return False
+    automaton = _refusals("ods")
     for m in _CLAUSE.finditer(low):
         part = m.group()
         if not part.strip():
             continue
-        kinds = {k for _, (k, _) in automaton.iter(part)}
+        kinds = {k for _, k in automaton.iter(part)}
         if "d" in kinds and ("o" in kinds or "s" in kinds) and not _REPORTS.search(part):
             return True
     return False
 
 
+# more letters and digits than the longest label and filler have together
+_SAYS = re.compile(r"(?:[\W_]*[^\W_]){40}")
+
+
 def says_nothing(text: str | None) -> bool:
     if text is None:
         return True
-    bare = regex.sub(r"[\p{Cf}\s]+", " ", text).strip()
+    if _SAYS.match(text):
+        return False
+    bare = _INVISIBLE.sub(" ", text).strip()
     bare = _LABEL.sub("", bare + "\n").strip()
     if bare.lower().strip("()[]{}<>\"'“”‘’ .:") in _FILLERS:
         return True
-    return not regex.search(r"[\p{L}\p{N}]", bare)
+    return not _SAYING.search(bare)
+
+
+# a plain word between blanks or, of letters without case, between other signs: no name or figure takes it in
+_PLAIN_WORD = re.compile(r"(?<!\S)[a-z]{2,}(?!\S)|(?<!\w)[\u0900-\u0dff\u0e00-\u0fff\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3]{2,}(?!\w)")
+
+
+def has_words(text: str) -> bool:
+    """Whether a text has words beside tokens, figures, links and identifiers."""
+    if "⟦" in text:
+        text = _MASK.sub(" ", text)
+    if "@" not in text and "/" not in text and _PLAIN_WORD.search(text):
+        return True
+    return bool(_LETTER.search(words_of(text)))
 
 
 def words_of(text: str) -> str:
     """The text without tokens, figures, links and identifiers."""
-    caps = regex.sub(r"[^\p{L}]", "", text)
     bare = _TOKEN.sub(" ", text)
-    if not (caps and caps.isupper() and len(caps) > 20):
+    if not text.isupper() or sum(map(str.isalpha, text)) <= 20:
         bare = _NAME.sub(" ", bare)
     return _FIGURE.sub(" ", bare)
 
 
+@cache
+def _script(c: str) -> str:
+    """The script of a letter or of a mark that belongs to one; empty for all other characters."""
+    if unicodedata.category(c)[0] not in "LM":
+        return ""
+    name = unicodedata.name(c, "")
+    if name.startswith(("FULLWIDTH", "HALFWIDTH", "MODIFIER", "MATHEMATICAL", "COMBINING")):
+        folded = unicodedata.normalize("NFKC", c)
+        name = unicodedata.name(folded[0], "") if folded != c else ""
+    word = name.partition(" ")[0]
+    return _LANGUAGES.get(word, word.lower())
+
+
+class _Scripts:
+    """The scripts of characters by code point; a character is looked up when it first occurs."""
+
+    NEW = 255
+
+    def __init__(self) -> None:
+        self.of = np.full(sys.maxunicode + 1, self.NEW, np.uint8)
+        self.names = [""]
+
+    def counts(self, text: str) -> dict[str, int]:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = self.of[codes]
+        if kinds.size and kinds.max() == self.NEW:
+            for code in np.unique(codes[kinds == self.NEW]):
+                name = _script(chr(code))
+                if name not in self.names:
+                    self.names.append(name)
+                self.of[code] = min(self.names.index(name), self.NEW - 1)
+            kinds = self.of[codes]
+        found = np.bincount(kinds, minlength=1)
+        return {self.names[k]: int(n) for k, n in enumerate(found[1:], 1) if n}
+
+
+@cache
+def _scripts() -> _Scripts:
+    return _Scripts()
+
+
+def _votes(text: str) -> dict[str, float]:
+    """The weight of the letters of each script."""
+    return {k: n * _WEIGHTS.get(k, 1.2) for k, n in _scripts().counts(text).items()}
+
+
+def _letters(text: str) -> dict[str, float]:
+    """The votes of a text; without names and tokens, where these could turn the vote.
+
+    They are written in Latin, Greek or Cyrillic letters, so they cannot where another script has more than half.
+    """
+    votes = _votes(text)
+    if votes:
+        top = max(votes, key=votes.get)
+        if votes[top] < sum(votes.values()) * (CLEAR_SHARE if top in _NAMING else 0.5):
+            return _votes(words_of(text))
+    return votes
+
+
+def main_script(text: str) -> str:
+    """The script most letters are of."""
+    votes = _letters(text)
+    return max(votes, key=votes.get) if votes else ""
+
+
 def language(text: str) -> tuple[str, float]:
     """The language most letters speak for, with its share."""
-    bare = words_of(text)
-    n = {name: len(pat.findall(bare)) for name, pat in _SCRIPTS}
-    # a syllable or a Han character carries as much as two or three Latin letters
-    weight = {"ko": 2.2, "kana": 2.2, "han": 2.2, "latin": 1.0}
-    w = {k: v * weight.get(k, 1.2) for k, v in n.items()}
-    east = w["kana"] + w["han"]
-    votes = {k: v for k, v in w.items() if k not in ("kana", "han", "latin")}
-    if n["kana"] > 0.12 * (n["kana"] + n["han"]):
-        votes["ja"] = east
-    else:
-        votes["zh"] = east
-    if w["latin"]:
-        words = regex.findall(r"[\p{L}']+", bare.lower())
-        scores = {lang: sum(x in stop for x in words) + 0.5 * sum(x.split("'")[0] in ("l", "d", "qu") and "'" in x for x in words) * (lang == "fr") for lang, stop in STOPWORDS.items()}
+    votes = _letters(text)
+    kana, han, latin = (votes.pop(k, 0.0) for k in ("kana", "han", "latin"))
+    if kana or han:
+        votes["ja" if kana > 0.12 * (kana + han) else "zh"] = kana + han
+    if latin:
+        words = _WORDS.findall(words_of(text).lower())
+        counts = Counter(words)
+        scores = {lang: sum(counts[x] for x in stop if x in counts) for lang, stop in STOPWORDS.items()}
+        scores["fr"] += 0.5 * sum("'" in x and x.split("'")[0] in ("l", "d", "qu") for x in words)
         lang = max(scores, key=scores.get)
-        votes[lang if scores[lang] else "latin"] = w["latin"]
+        votes[lang if scores[lang] else "latin"] = latin
     total = sum(votes.values())
     if not total:
         return "", 0.0
@@ -207,142 +300,150 @@ def language(text: str) -> tuple[str, float]:
 
 
 def _squeeze(text: str) -> str:
-    return regex.sub(r"[\s\p{Cf}\"'“”‘’«»]+", "", text).casefold()
+    return _SQUEEZED.sub("", text).casefold()
 
 
 _DONE_KO = re.compile("(?:다|요|까|죠|라니)$")
-_END = re.compile(r"[.!?。！？।॥]+[\"”’»)\]」』）]*$")
-_BROKEN = re.compile(r"(?:\.\.\.|…|[,、，;:·\-–—‐/(\[「“«])[\"”’]*$")
+# Marks at the end of a sentence, what may close behind them, and marks no sentence ends with.
+_TERMINATORS = frozenset(".!?。！？।॥")
+_CLOSERS = "\"”’»)]」』）"
+_OPEN_ENDS = frozenset("…,、，;:·-–—‐/([「“«")
+# Opening delimiters and what closes them.
+_DELIMITERS = {")": "(", "]": "[", "}": "{", "”": "“", "」": "「", "』": "『", "»": "«", "⟧": "⟦", "）": "（", "】": "【", "》": "《", "〉": "〈"}
+_OPENERS = frozenset(_DELIMITERS.values())
+_DELIMITER = re.compile("[" + re.escape("".join(_DELIMITERS) + "".join(_OPENERS) + '"') + "]")
 
 
 def _unbalanced(text: str) -> bool:
-    """Whether a delimiter stays open at the end."""
+    """Whether a delimiter stays open at the end; a closing one takes all that opened behind its partner with it."""
     stack: list[str] = []
-    pairs = {")": "(", "]": "[", "}": "{", "”": "“", "」": "「", "』": "『", "»": "«", "⟧": "⟦", "）": "（"}
-    for c in text:
-        if c in "([{“「『«⟦（":
-            stack.append(c)
+    open_now: Counter[str] = Counter()
+    for c in _DELIMITER.findall(text):
+        if c in _OPENERS:
+            want = ""
         elif c == '"':
-            if '"' in stack:
-                while stack and stack.pop() != '"':
-                    pass
-            else:
-                stack.append(c)
-        elif c in pairs and pairs[c] in stack:
-            while stack and stack.pop() != pairs[c]:
-                pass
+            want = '"' if open_now['"'] else ""
+        else:
+            want = _DELIMITERS[c]
+            if not open_now[want]:
+                continue
+        if not want:
+            stack.append(c)
+            open_now[c] += 1
+            continue
+        while True:
+            top = stack.pop()
+            open_now[top] -= 1
+            if top == want:
+                break
     return bool(stack)
 
 
+def _bare_end(text: str) -> str:
+    """The text without blanks and invisible characters at its end."""
+    n = len(text)
+    while n and (text[n - 1].isspace() or unicodedata.category(text[n - 1]) == "Cf"):
+        n -= 1
+    return text[:n]
+
+
+def _open_end(t: str) -> tuple[str, str] | None:
+    """The mark a text breaks off with and the text before it."""
+    core = t.rstrip("\"”’")
+    if core.endswith("..."):
+        return "...", core[:-3]
+    return (core[-1], core[:-1]) if core and core[-1] in _OPEN_ENDS else None
+
+
+def _ended(t: str) -> bool:
+    core = t.rstrip(_CLOSERS)
+    return bool(core) and core[-1] in _TERMINATORS
+
+
 def breaks_off(text: str, heading: bool) -> bool:
     """Whether the text stops inside a sentence."""
-    t = regex.sub(r"[\s\p{Cf}]+$", "", text)
+    t = _bare_end(text)
     if not t:
         return False
     if _unbalanced(t):
         return True
-    m = _BROKEN.search(t)
-    if m:
-        stem = re.sub(r"\s*(?:\[[\d, ]+\]|\([^()]*\))$", "", t[: m.start()].rstrip(" .…"))
-        return not (m.group()[0] in ".…" and (_DONE_KO.search(stem) or not stem))
-    if _END.search(t):
-        return False
-    if heading:
+    end = _open_end(t)
+    if end:
+        mark, before = end
+        stem = re.sub(r"\s*(?:\[[\d, ]+\]|\([^()]*\))$", "", before.rstrip(" .…"))
+        return not (mark[0] in ".…" and (_DONE_KO.search(stem) or not stem))
+    if _ended(t) or heading:
         return False
     if re.search("[가-힣]", t):
-        return not _DONE_KO.search(re.sub(r"[\s()\[\]\"”’\d.%<p=]+$", "", t) if re.search(r"[)\]]$", t) else t)
-    return language(t)[0] not in ("th",)
+        return not _DONE_KO.search(t.rstrip(" \t\r\n()[]\"”’0123456789.%<p=") if t[-1] in ")]" else t)
+    return main_script(t) not in _MARKLESS
 
 
 def source_complete(text: str, heading: bool) -> bool:
-    t = regex.sub(r"[\s\p{Cf}]+$", "", text)
+    t = _bare_end(text)
     if not t:
         return False
-    lang = language(t)[0]
-    if lang == "th":
-        return True
-    return bool(_END.search(t)) and not _BROKEN.search(t)
+    return (_ended(t) and not _open_end(t)) or main_script(t) in _MARKLESS
 
 
-def defect_of(source: str | None, response: str | None, kind: str | None = "body") -> str | None:
-    """The defect of one pair, or None."""
+def defect_of(source: str | None, response: str | None, kind: str | None = "body", target: str | None = "ko") -> str | None:
+    """The defect of one pair, or None; `target` is the language the response should have."""
     heading = kind == "heading"
-    source = source or ""
-    has_words = bool(regex.search(r"\p{L}", words_of(source)))
+    source, target = source or "", target or ""
+    wordy = has_words(source)
     if says_nothing(response):
-        if not has_words and response is not None and source.strip() and source.strip() == response.strip():
+        if not wordy and response is not None and source.strip() and source.strip() == response.strip():
             return None
         return "empty"
-    bare = _LABEL.sub("", response)
     if is_refusal(response):
         return "refusal"
-    if has_words:
-        a, b = _squeeze(source), _squeeze(bare)
-        if a == b:
-            return "copy"
-        lang, part = language(bare)
-        src = language(source)[0]
-        # a response in Korean, or in another script than the prompt, shares no stretch of words with it
-        if lang != "ko" or src == "ko":
-            if b and len(b) >= min(COPY_STRETCH, len(a)) and _same_script(lang, src):
-                seen = SuffixAutomaton(a)
-                stretch = min(COPY_STRETCH, max(3, len(a) // 2))
-                said = _squeeze(words_of(bare))
-                if seen.coverage(b, stretch) >= COPY_SHARE and seen.coverage(said, min(stretch, 6)) >= COPY_SHARE:
-                    return "copy"
-            if lang and lang not in ("ko", "latin") and part >= LANGUAGE_SHARE and lang != src:
-                return "wrong_language"
+    if wordy:
+        bare = _LABEL.sub("", response)
+        # words of different scripts cannot be copies of each other
+        said = _letters(bare)
+        asked = _letters(source)
+        clear = target == "ko" and said.get("ko", 0.0) * 2 > sum(said.values()) and asked.get("ko", 0.0) * 2 <= sum(asked.values())
+        if not clear:
+            a, b = _squeeze(source), _squeeze(bare)
+            if a == b:
+                return "copy"
+            lang, part = language(bare)
+            src = language(source)[0]
+            # a response in its own language, other than that of the prompt, shares no stretch of words with it
+            if lang != target or src == target:
+                if b and len(b) >= min(COPY_STRETCH, len(a)) and _same_script(lang, src):
+                    seen = SuffixAutomaton(a)
+                    stretch = min(COPY_STRETCH, max(3, len(a) // 2))
+                    words = _squeeze(words_of(bare))
+                    if seen.coverage(b, stretch) >= COPY_SHARE and seen.coverage(words, min(stretch, 6)) >= COPY_SHARE:
+                        return "copy"
+                if lang and lang not in (target, "latin") and part >= LANGUAGE_SHARE and lang != src:
+                    return "wrong_language"
         if source_complete(source, heading) and breaks_off(response, heading):
             return "truncated"
     return None
 
 
-_SCRIPT_OF = {"ko": "ko", "ja": "han", "zh": "han", "th": "th", "hi": "hi", "ru": "ru", "el": "el", "ar": "ar", "he": "he"}
-
-
 def _same_script(a: str, b: str) -> bool:
-    return _SCRIPT_OF.get(a, "latin") == _SCRIPT_OF.get(b, "latin")
-
-
-# Every cue that declines holds one of these stems (tested); the JVM looks for stems only.
-_STEMS = (
-    "번역", "옮기", "옮길", "도와", "도움", "답변", "처리", "다룰", "응할", "들어드릴", "거절", "제공",
-    "translat", "help", "assist", "process", "fulfill", "comply", "refuse", "decline", "provide", "able", "comfortable",
-    "übersetz", "helfen", "ablehn", "bearbeit", "leider", "traduire", "aider", "décliner", "mesure", "peux pas", "traduc", "ayudar", "tradurre",
-)
-_OTHER_LETTERS = "[\\u0370-\\u0dff\\u0e00-\\u10ff\\u3040-\\u30ff\\u4e00-\\u9fff]"
+    group = lambda x: "han" if x in ("ja", "zh") else "latin" if x in STOPWORDS or x in ("", "latin") else x
+    return group(a) == group(b)
 
 
-def maybe_defective(source: Column, response: Column, kind: Column) -> Column:
-    """True for every pair that could have a defect; plainly sound Korean answers stay in the JVM.
-
-    Sound: Hangul makes up a third of the signs (it takes three bytes a sign, so two lengths tell) and no other
-    script but Latin occurs; the last signs end a sentence; delimiters pair up; no stem of a refusal cue occurs.
-    """
-    t = F.coalesce(response, F.lit(""))
-    n = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
-    tail = F.substring(F.rtrim(F.regexp_replace(F.substring(t, -12, 12), "\\s+$", "")), -6, 6)
-    korean = (F.octet_length(t) - F.length(t)) >= 0.66 * F.length(t)
-    ended = tail.rlike("[^.…][.!?][\"”’)\\]]*$") | tail.rlike("[다요까죠]$") | ((kind == "heading") & tail.rlike("[가-힣]$"))
-    paired = (n('"') % 2 == 0) & (n("(") == n(")")) & (n("“") == n("”")) & (n("[") == n("]"))
-    low = F.lower(t)
-    cued = reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in _STEMS])
-    return F.coalesce(~(korean & ended & paired & ~t.rlike(_OTHER_LETTERS) & ~cued), F.lit(True))
-
-
-def flag_pairs(df: DataFrame, source: str = "source", response: str = "translated", kind: str = "kind", *, keep: tuple[str, ...] = ("doc_id", "seg_id")) -> DataFrame:
+def flag_pairs(df: DataFrame, source: str = "source", response: str = "translated", kind: str = "kind", *, target: str | Column = "ko", keep: tuple[str, ...] = ("doc_id", "seg_id")) -> DataFrame:
     """One row per defective pair: the `keep` columns and its defect type.
 
-    Repeated rows give repeated results; callers that want cases apply distinct.
+    `target` is the language of the responses, a code for all or a column. Repeated rows give repeated results;
+    callers that want cases apply distinct.
     """
-    base = df.where(maybe_defective(F.col(source), F.col(response), F.col(kind))).select(*keep, F.col(source).alias("__s"), F.col(response).alias("__r"), F.col(kind).alias("__k"))
+    aim = F.lit(target) if isinstance(target, str) else target
+    base = df.select(*keep, F.col(source).alias("__s"), F.col(response).alias("__r"), F.col(kind).alias("__k"), aim.alias("__l"))
     schema = StructType([df.schema[c] for c in keep]).add("defect", StringType())
     names = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = lambda c, b=batch: b.column(b.schema.get_field_index(c)).to_pylist()
-            got = [defect_of(*x) for x in zip(col("__s"), col("__r"), col("__k"), strict=True)]
+            got = [defect_of(*x) for x in zip(col("__s"), col("__r"), col("__k"), col("__l"), strict=True)]
             rows = [i for i, d in enumerate(got) if d]
             part = batch.select(names).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([got[i] for i in rows], pa.string())], [*names, "defect"])

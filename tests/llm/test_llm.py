@@ -247,10 +247,37 @@ def test_defects():
         assert pairs.defect_of(same, same) is None
 
 
-def test_every_declining_cue_holds_a_stem_or_another_script():
-    import re
-
-    assert all(re.search(pairs._OTHER_LETTERS, c) or any(s in c for s in pairs._STEMS) for c in pairs._CUES["d"])
+def test_defects_of_any_script_and_delimiter():
+    en = "The loss function limits the search tree at every layer. It works well."
+    assert pairs.defect_of("Overview", "없음", "heading") == "empty"
+    ko = "손실 함수는 모든 층에서 탐색 트리를 제한한다."
+    assert pairs.defect_of(ko, ko) == "copy"
+    assert pairs.defect_of(ko, ko, target="en") == "copy"
+    for mark in "([{“「『«⟦（【《〈":
+        assert pairs.defect_of(en, f"손실 함수는 {mark}모든 층에서 탐색 트리를 제한한다.") == "truncated", mark
+    assert pairs.defect_of(en, "손실 )함수(는 모든 층에서 제한한다.") == "truncated"  # as many of either kind, wrongly nested
+    assert pairs.defect_of(en, "손실 (함수)는 모든 층에서 제한한다.") is None
+    for text in ("កម្មវិធីនេះដំណើរការបានល្អ។.", "ይህ ሥርዓት በደንብ ይሠራል።", "ဤစနစ်သည် ကောင်းစွာ အလုပ်လုပ်သည်။", "Այս համակարգը լավ է աշխատում։", "ეს სისტემა კარგად მუშაობს.", "Система работает хорошо."):
+        assert pairs.defect_of(en, text) == "wrong_language", text
+        assert pairs.language(text)[1] > 0.9
+    assert pairs.defect_of(ko, en, target="en") is None and pairs.defect_of(ko, en) == "wrong_language"
+    assert pairs.defect_of("図3は装置が雑音水準を乱すため重要である。", "그림 3은 장치가 잡음 수준을") == "truncated"
+    long = "word " * 4_000 + "."
+    assert pairs.defect_of(long, long) == "copy" and pairs.defect_of(long, "단어 " * 40_000 + "이다.") is None
+
+
+# phrases made up apart from the tables at hand; some hold listed cues
+HELD_OUT = {
+    "refusal": ["죄송합니다. 요청하신 글의 번역은 제공할 수 없습니다.", "I apologize, but I am unable to translate this paragraph for you.", "I'm sorry, I can't help with this request.", "Es tut mir leid, aber ich kann diesen Text nicht übersetzen.", "Désolé, je ne peux pas traduire ce passage.", "申し訳ありませんが、この文章は翻訳できません。", "抱歉，我无法翻译这段文字。", "Lo siento, no puedo traducir este texto."],
+    None: ["이 모형은 잡음을 처리할 수 없는 경우가 많다.", "저자는 번역이 어렵다는 점을 지적한다.", "이 방법은 도움이 된다.", "이 표는 결과를 제공한다."],
+}
+
+
+def test_refusals_among_other_phrases():
+    en = "The loss function limits the search tree at every layer. It works well."
+    for want, texts in HELD_OUT.items():
+        for t in texts:
+            assert pairs.defect_of(en, t) == want, t
 
 
 def test_suffix_automaton_coverage_equals_brute_force():
@@ -266,7 +293,7 @@ def test_suffix_automaton_coverage_equals_brute_force():
         assert abs(pairs.SuffixAutomaton(a).coverage(b, k) - sum(mark) / len(b)) < 1e-9
 
 
-def test_jvm_test_drops_only_sound_pairs(spark):
+def test_defective_pairs_of_a_table(spark):
     ship(spark)
     en, ko = "The encoder limits the decoder.", "인코더는 디코더를 제한한다."
     rows = [("a", en, ko, "body"), ("b", en, None, "body"), ("c", None, ko, "body"), ("d", en, en, None), ("e", en, "", "body"), ("e", en, "", "body"), ("f", en, "인코더는 디코더를", "body")]
@@ -274,6 +301,9 @@ def test_jvm_test_drops_only_sound_pairs(spark):
     got = sorted((r["doc_id"], r["defect"]) for r in pairs.flag_pairs(df).collect())
     assert got == [("b", "empty"), ("d", "copy"), ("e", "empty"), ("e", "empty"), ("f", "truncated")]
     assert pairs.flag_pairs(df.limit(0)).count() == 0
+    aims = df.withColumn("aim", F.when(F.col("doc_id") == "a", "fr").otherwise("ko"))
+    got = sorted((r["doc_id"], r["defect"]) for r in pairs.flag_pairs(aims, target=F.col("aim")).collect())
+    assert got == [("a", "wrong_language"), ("b", "empty"), ("d", "copy"), ("e", "empty"), ("e", "empty"), ("f", "truncated")]
 
 
 # --- scans
