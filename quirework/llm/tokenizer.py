@@ -44,7 +44,7 @@ class Encoder:
         self.spans = regex.compile(PATTERN).finditer
         self.memo: dict[str, tuple[int, ...]] = {}
         self.units: dict[str, tuple[int, ...]] = {}
-        self.simple: dict[str, tuple[int, int]] = {}
+        self.simple: dict[int, dict[str, tuple[int, int]]] = {}
         self.joins: dict[str, bool] = {}
         self.bridges = self._bridges()
 

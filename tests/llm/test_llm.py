@@ -109,28 +109,94 @@ def test_pack_divides_only_the_oversized(spark):
 # --- pieces
 
 
+def whole_pieces(enc, text, limit, overlap):
+    text, *table = splitting._tabulated(enc, text, "", 0, True, limit)
+    total = int(table[1][-1])
+    section = splitting.Section(enc, text, *table)
+    return [g for k in range(splitting.sections_of(total, limit)) for g in section.pieces(total, limit, overlap, k)] if total > limit else []
+
+
+def check_pieces(enc, t, got, limit, overlap, strict=True):
+    """`got`: start, end, tokens of the pieces of a text, in order."""
+    assert got[0][0] == 0 and got[-1][1] == len(t)
+    for a, b, n in got:
+        assert enc.count(t[a:b]) == n <= limit
+    for (a, b, _), (c, d, _) in zip(got, got[1:], strict=False):
+        assert a < c <= b < d
+        assert not strict or enc.count(t[c:b]) >= overlap
+
+
 def test_pieces_cover_overlap_and_keep_the_limit(enc):
-    texts = [LONG[:20_000], "가나다라마바사" * 900, "A sentence here. " * 400, "para one\n\npara two is longer\n" * 200, "x" * 4000, " " * 3000, "no" * 3000 + " end. " * 500]
+    texts = [LONG[:20_000], "가나다라마바사" * 900, "A sentence here. " * 400, "para one\n\npara two is longer\n" * 200, "x" * 4000, " " * 30_000, "no" * 3000 + " end. " * 500, "🙂" * 900, "ab\n\n\n   cd " * 500, "q9" * 2000]
     for t in texts:
-        got = splitting.cut_pieces(enc, t, 128, 16)
-        assert got[0][0] == 0 and got[-1][1] == len(t)
-        for (a, b, n), (c, d, m) in zip(got, got[1:], strict=False):
-            assert a < c <= b < d and max(n, m) <= 128
-        assert all(enc.count(t[a:b]) == n for a, b, n in got)
+        for limit, overlap in ((128, 16), (512, 64), (40, 0), (32, 4)):
+            got = whole_pieces(enc, t, limit, overlap)
+            if not got:
+                assert enc.count(t) <= limit
+                continue
+            check_pieces(enc, t, got, limit, overlap)
+    with pytest.raises(ValueError):
+        splitting.check_room(64, 60)
+
+
+def test_cuts_stand_at_the_strongest_boundaries(enc):
+    t = ("One two three four. Five six seven eight nine ten. " * 6 + "End.\n\n") * 12
+    ends = [t[:b] for _, b, _ in whole_pieces(enc, t, 128, 16)[:-1]]
+    assert all(e.endswith("\n\n") or e.endswith(".") for e in ends) and sum(e.endswith("\n\n") for e in ends) > 8
+
+
+def giants(rng, n):
+    words = ["alpha", "beta.", "gamma\n\n", "delta,", "été", "漢字。", "x" * 30]
+    return [
+        " ".join(rng.choice(words) for _ in range(n)),
+        "".join(rng.choice("漢字仮名交文章長短") for _ in range(n)),
+        " " * n + "word " * (n // 4),
+        "".join(rng.choice(["alpha ", "🙂", "don't ", "it's", "\n", "9", "\t", "!?"]) for _ in range(n)),
+    ]
 
 
-def test_ranges_give_whole_cover(spark, enc):
+def test_pieces_do_not_depend_on_the_ranges(spark, enc):
+    ship(spark)
+    texts = giants(random.Random(4), 30_000)
+    df = spark.createDataFrame([*enumerate(texts), (9, "short"), (10, None), (11, ""), (0, texts[0])], "doc_id long, text string")
+    got = {}
+    for span in (1 << 13, 1 << 15, 1 << 22):
+        got[span] = sorted(tuple(r) for r in splitting.split_texts(df, 512, 64, span=span).collect())
+    assert {r[0] for r in got[1 << 22]} == {0, 1, 2, 3}
+    for k, t in enumerate(texts):
+        for span, rows in got.items():
+            mine = [r for r in rows if r[0] == k]
+            if k == 0:  # the repeated row
+                assert mine[::2] == mine[1::2]
+                mine = mine[::2]
+            assert [r[1] for r in mine] == list(range(len(mine))) and all(t[r[2] : r[3]] == r[5] for r in mine)
+            check_pieces(enc, t, [r[2:5] for r in mine], 512, 64)
+            # a range can only begin at an unsure place where there is no sure one in the halo
+            assert k in (1, 2) or [r for r in rows if r[0] == k] == [r for r in got[1 << 22] if r[0] == k]
+    assert splitting.split_texts(df.limit(0), 512, 64).count() == 0
+
+
+def test_pieces_of_files_read_by_offset(spark, enc, tmp_path):
     ship(spark)
-    rng = random.Random(4)
-    giant = " ".join(rng.choice(["alpha", "beta.", "gamma\n\n", "delta"]) for _ in range(40_000))
-    df = spark.createDataFrame([(1, giant), (2, "short"), (3, None), (4, "")], "doc_id long, text string")
-    rows = splitting.split_texts(df, 512, 64, span=1 << 16).orderBy("piece_no").collect()
-    assert {r["doc_id"] for r in rows} == {1} and [r["piece_no"] for r in rows] == list(range(len(rows)))
-    assert rows[0]["start_char"] == 0 and rows[-1]["end_char"] == len(giant)
-    for a, b in zip(rows, rows[1:], strict=False):
-        assert a["start_char"] < b["start_char"] <= a["end_char"] < b["end_char"]
-        assert enc.count(giant[b["start_char"] : a["end_char"]]) >= 60
-    assert all(giant[r["start_char"] : r["end_char"]] == r["piece"] and r["n_tokens"] <= 512 for r in rows)
+    texts = giants(random.Random(5), 60_000)
+    big = " ".join(f"Sentence {i} says something of {i % 97}." + "\n\n" * (i % 9 == 0) for i in range(360_000))
+    assert len(big) > 12_000_000
+    for i, t in enumerate([*texts, big, "", "tiny"]):
+        (tmp_path / f"f{i}.txt").write_bytes(t.encode("utf-8"))
+    (tmp_path / "f9.txt").write_bytes(b"caf\xe9 \xc3 word. " * 2000)
+    rows = splitting.split_files(spark, str(tmp_path), 512, 64, span=1 << 17).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["path"].rsplit("/", 1)[1], []).append(r)
+    assert set(by) == {"f0.txt", "f1.txt", "f2.txt", "f3.txt", "f4.txt", "f9.txt"}
+    for name, got in by.items():
+        raw = (tmp_path / name).read_bytes()
+        got.sort(key=lambda r: r["piece_no"])
+        assert [r["piece_no"] for r in got] == list(range(len(got))) and got[0]["start_byte"] == 0 and got[-1]["end_byte"] == len(raw)
+        assert all(a["start_byte"] < b["start_byte"] <= a["end_byte"] < b["end_byte"] and b["n_tokens"] <= 512 for a, b in zip(got, got[1:], strict=False))
+        for r in got[:: max(1, len(got) // 200)]:
+            part = raw[r["start_byte"] : r["end_byte"]]
+            assert len(part) == len(r["piece"].encode("utf-8")) and (name == "f9.txt" or part.decode("utf-8") == r["piece"]) and enc.count(r["piece"]) == r["n_tokens"]
 
 
 # --- sentences

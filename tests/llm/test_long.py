@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from quirework.llm import align, lookalike, splitting, tokenizer
+from quirework.llm import align, lookalike
 from quirework.session import ship
 
 
@@ -53,34 +53,6 @@ def test_left_over_lines_of_a_giant_segment_equal_the_whole_comparison(monkeypat
     assert part.keys == [(3,), (5,)] and np.array_equal(part.flat[part.starts[1] :], align.Side("en", [(5, src[5])], False).flat)
 
 
-RANKS = open("/opt/tokenizers/byte_bpe_50k.tiktoken", "rb").read()
-
-
-def test_no_vocabulary_string_is_longer_than_a_lead_in_counts_on():
-    assert max(map(len, tokenizer.read_ranks(RANKS))) <= splitting.LONGEST
-
-
-def test_pieces_of_ranges_share_the_whole_overlap(spark):
-    ship(spark)
-    enc = tokenizer.Encoder(tokenizer.read_ranks(RANKS))
-    rng = random.Random(12)
-    span, words = 1 << 16, ["alpha", "beta.", "gamma", "delta,", "epsilon"]
-    plain = "".join(f"{rng.choice(words)} " for _ in range(60_000))
-    seam = plain[: span - 20] + "\n\n" + plain[span - 20 : 2 * span - 9] + "\n\n" + plain[2 * span - 9 :]  # the only blank lines, shortly before the ranges
-    solid = "".join(rng.choice("漢字仮名交文章長短") for _ in range(span - 100)) + " ende " + "".join(rng.choice("漢字仮名交文章長短") for _ in range(2 * span))
-    blank = plain[: span - 9000] + " " * 9000 + "word " * 30_000
-    texts = [seam, solid, blank, " ".join(rng.choice(["alpha", "beta.", "gamma\n\n", "delta"]) for _ in range(40_000))]
-    got = splitting.split_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 512, 64, span=span).orderBy("doc_id", "piece_no").collect()
-    for k, t in enumerate(texts):
-        rows = [r for r in got if r["doc_id"] == k]
-        assert rows[0]["start_char"] == 0 and rows[-1]["end_char"] == len(t) and [r["piece_no"] for r in rows] == list(range(len(rows)))
-        assert all(t[r["start_char"] : r["end_char"]] == r["piece"] and enc.count(r["piece"]) == r["n_tokens"] <= 512 for r in rows)
-        for a, b in zip(rows, rows[1:], strict=False):
-            assert a["start_char"] < b["start_char"] <= a["end_char"] < b["end_char"]
-            shared = enc.count(t[b["start_char"] : a["end_char"]])
-            assert shared >= 64, (k, a["piece_no"], a["end_char"], shared)
-
-
 def test_house_texts_give_their_spelling(spark):
     ship(spark)
     house = spark.createDataFrame([(1, "パラメータ表"), (2, "Search tree"), (3, "Façade"), (4, "Search trее")], "ref_id int, text string")
