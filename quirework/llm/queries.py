@@ -31,24 +31,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.flag_pairs(spread(s)).distinct()
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of scanned pages, and the segments of scanned jobs."""
     pages = table(spark, d, "layout_pages").where("ocr").select("doc_id", "page").distinct()
     lines = table(spark, d, "ocr_lines").join(pages, ["doc_id", "page"], "left_semi")
-    found = scans.cut(scans.line_defects(lines), "defects")
     scanned = table(spark, d, "doc_profile").where("text_form = 'scanned'").select("doc_id").distinct()
-    segs = table(spark, d, "segments").select("doc_id", "seg_id", "page", "source").join(scanned, "doc_id", "left_semi")
+    return lines, table(spark, d, "segments").select("doc_id", "seg_id", "page", "source").join(scanned, "doc_id", "left_semi")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    lines, segs = _scanned(spark, d)
+    parts = scans.scan_parts(lines)
+    found = cut(parts["defects"], "defects")
     a = found.select(F.lit("ocr_lines").alias("tbl"), "doc_id", F.concat_ws("/", "page", "line_no").alias("rec"), "defect")
-    b = scans.segment_defects(segs, found).select(F.lit("segments").alias("tbl"), "doc_id", F.col("seg_id").alias("rec"), "defect")
+    b = scans.segment_defects(segs, parts["roles"], found).select(F.lit("segments").alias("tbl"), "doc_id", F.col("seg_id").alias("rec"), "defect")
     return a.unionByName(b).distinct()
 
 
 def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
     """Every paragraph of a scanned job as continuous text."""
-    pages = table(spark, d, "layout_pages").where("ocr").select("doc_id", "page").distinct()
-    lines = table(spark, d, "ocr_lines").join(pages, ["doc_id", "page"], "left_semi")
-    scanned = table(spark, d, "doc_profile").where("text_form = 'scanned'").select("doc_id").distinct()
-    segs = table(spark, d, "segments").select("doc_id", "seg_id", "page", "source").join(scanned, "doc_id", "left_semi")
-    return scans.repaired_paragraphs(lines, segs)
+    return scans.repaired_paragraphs(*_scanned(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

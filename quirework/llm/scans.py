@@ -76,19 +76,11 @@ _AUTHORS = f"^(?:\\d+\\s+)?{_NAME}(?: {_NAME})?(?: (?:&|and|und|et) {_NAME}(?: {
 _SPACED = "^(?:\\d+\\s+)?(?:[\\p{Lu}\\d&.,'-] ){3,}.*$"
 
 
-def _pages(lines: DataFrame) -> DataFrame:
-    """Each page of a document with the next page that has lines, found in blocks."""
-    pages = lines.select("doc_id", "page").distinct().withColumn("block", F.floor(F.col("page") / PAGE_BLOCK))
-    blocks = pages.groupBy("doc_id", "block").agg(F.min("page").alias("first"))
-    after = blocks.withColumn("after", F.lead("first").over(Window.partitionBy("doc_id").orderBy("block"))).select("doc_id", "block", "after")
-    inner = pages.withColumn("next", F.lead("page").over(Window.partitionBy("doc_id", "block").orderBy("page")))
-    return inner.join(after, ["doc_id", "block"]).select("doc_id", "page", F.coalesce("next", "after").alias("next_page"))
-
-
 def furniture(lines: DataFrame) -> DataFrame:
     """The lines with `role` (body, title, running_header, page_number) and `seq`, the order on the page.
 
-    `lines` has doc_id, page, line_no, y0, y1, text; repeated rows are merged.
+    `lines` has doc_id, page, line_no, y0, y1, text; repeated rows are merged. Only lines at the edges of a page, and
+    tall ones, meet the tables of what their document repeats; all others are body without a join.
     """
     base = lines.select("doc_id", "page", "line_no", "y0", "y1", "text").where(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)).dropDuplicates(["doc_id", "page", "line_no", "text"])
     page = Window.partitionBy("doc_id", "page")
@@ -98,23 +90,25 @@ def furniture(lines: DataFrame) -> DataFrame:
         .withColumn("count", F.count(F.lit(1)).over(page))
         .withColumn("low", F.min(F.col("y1") - F.col("y0")).over(page))
         .withColumn("edge", (F.col("seq") <= EDGE) | (F.col("seq") > F.col("count") - EDGE))
-        .withColumn("tall", (F.col("y1") - F.col("y0")) >= TALL * F.col("low"))
-        .withColumn("number", F.when(F.col("edge"), number_of(F.col("text"))))
-        .withColumn("key", F.when(F.col("edge"), _letters_only(F.col("text"))))
+        .withColumn("tall", F.coalesce((F.col("y1") - F.col("y0")) >= TALL * F.col("low"), F.lit(False)))
+        .select("doc_id", "page", "line_no", "text", "seq", "count", "edge", "tall")
     )
-    edges = placed.where("edge")
+    placed = cut(placed, "placed")
+    keep = ["doc_id", "page", "line_no", "text", "seq", "role"]
+    plain = placed.where(~F.col("edge") & ~F.col("tall")).withColumn("role", F.lit("body")).select(*keep)
+    some = placed.where("edge OR tall").withColumn("number", F.when(F.col("edge"), number_of(F.col("text")))).withColumn("key", F.when(F.col("edge"), _letters_only(F.col("text"))))
     # headers: keys on two pages or more of a document, titles, author lines
-    repeated = edges.where((F.length("key") >= 5) & F.col("number").isNull() & ~F.col("tall")).groupBy("doc_id", "key").agg(F.count_distinct("page").alias("pages")).where("pages >= 2").select("doc_id", "key", F.lit(True).alias("repeats"))
-    titles = placed.where("tall").groupBy("doc_id", F.col("key")).agg(F.lit(True).alias("titled"))
+    running = F.col("edge") & (F.length("key") >= 5) & F.col("number").isNull() & ~F.col("tall")
+    keys = some.where(F.col("key").isNotNull()).groupBy("doc_id", "key").agg(F.coalesce(F.min(F.when(running, F.col("page"))) < F.max(F.when(running, F.col("page"))), F.lit(False)).alias("repeats"), F.max("tall").alias("titled")).where("repeats OR titled")
     # page numbers keep their distance to the page; the most frequent distance of a document holds
-    offsets = edges.where(F.col("number").isNotNull()).groupBy("doc_id", (F.col("number") - F.col("page")).alias("offset")).agg(F.count_distinct("page").alias("pages"))
+    offsets = some.where(F.col("number").isNotNull()).groupBy("doc_id", (F.col("number") - F.col("page")).alias("offset")).agg(F.count_distinct("page").alias("pages"))
     usual = offsets.groupBy("doc_id").agg(F.max_by("offset", F.struct("pages", -F.col("offset"))).alias("usual"), F.max("pages").alias("support"))
-    joined = placed.join(repeated, ["doc_id", "key"], "left").join(titles, ["doc_id", "key"], "left").join(usual, "doc_id", "left")
+    joined = some.join(keys, ["doc_id", "key"], "left").join(usual, "doc_id", "left")
     authors = F.col("text").rlike(_AUTHORS) | F.col("text").rlike(_SPACED)
     is_number = ((F.col("seq") == 1) | (F.col("seq") == F.col("count"))) & ~F.col("text").rlike("^\\s*\\(") & F.col("number").isNotNull() & ((F.col("support") < 2) | (F.abs(F.col("number") - F.col("page") - F.col("usual")) <= 2))
     is_header = F.col("edge") & ~F.col("tall") & (authors | F.coalesce("titled", F.lit(False)) | F.coalesce("repeats", F.lit(False)) & ~F.col("text").rlike("^\\p{Ll}|[.,;]$"))
     role = F.when(is_number, "page_number").when(is_header, "running_header").when(F.col("tall") & (F.col("seq") <= EDGE + 1), "title").otherwise("body")
-    return joined.withColumn("role", role).select("doc_id", "page", "line_no", "text", "seq", "role")
+    return plain.unionByName(joined.withColumn("role", role).select(*keep))
 
 
 _LAST = f"([\\p{{L}}\\d]+)([{_MARKS}])$"
@@ -122,15 +116,21 @@ _FIRST = "^([\\p{L}\\d]+)"
 
 
 def _next_text(roles: DataFrame) -> DataFrame:
-    """Body lines with the text of the next and the previous body line, over page ends as well."""
-    body = roles.where(F.col("role") == "body")
+    """Body lines with the next body line (`after`: page, line_no, text) and the text of the previous one (`before`).
+
+    Page ends meet the next page that has body lines, found in blocks of pages.
+    """
+    body = roles.where(F.col("role") == "body").withColumn("me", F.struct("page", "line_no", "text"))
     page = Window.partitionBy("doc_id", "page").orderBy("seq")
-    inside = body.withColumn("after", F.lead("text").over(page)).withColumn("before", F.lag("text").over(page))
-    ends = body.groupBy("doc_id", "page").agg(F.min_by("text", "seq").alias("top"), F.max_by("text", "seq").alias("bottom"))
-    chain = _pages(body)
-    nxt = chain.join(ends.select("doc_id", F.col("page").alias("next_page"), "top"), ["doc_id", "next_page"]).select("doc_id", "page", F.col("top").alias("over"))
-    prev = chain.where(F.col("next_page").isNotNull()).join(ends.select("doc_id", "page", "bottom"), ["doc_id", "page"]).select("doc_id", F.col("next_page").alias("page"), F.col("bottom").alias("under"))
-    return inside.join(nxt, ["doc_id", "page"], "left").join(prev, ["doc_id", "page"], "left").withColumn("after", F.coalesce("after", "over")).withColumn("before", F.coalesce("before", "under")).drop("over", "under")
+    inside = body.withColumn("after", F.lead("me").over(page)).withColumn("before", F.lag("text").over(page))
+    ends = body.groupBy("doc_id", "page").agg(F.min_by("me", "seq").alias("top"), F.max_by("text", "seq").alias("bottom")).withColumn("block", F.floor(F.col("page") / PAGE_BLOCK))
+    blocks = ends.groupBy("doc_id", "block").agg(F.min_by("top", "page").alias("top"), F.max_by("bottom", "page").alias("bottom"))
+    by_block = Window.partitionBy("doc_id").orderBy("block")
+    borders = blocks.select("doc_id", "block", F.lead("top").over(by_block).alias("later"), F.lag("bottom").over(by_block).alias("earlier"))
+    by_page = Window.partitionBy("doc_id", "block").orderBy("page")
+    met = ends.select("doc_id", "block", "page", F.lead("top").over(by_page).alias("over"), F.lag("bottom").over(by_page).alias("under")).join(borders, ["doc_id", "block"])
+    met = met.select("doc_id", "page", F.coalesce("over", "later").alias("over"), F.coalesce("under", "earlier").alias("under"))
+    return inside.join(met, ["doc_id", "page"], "left").withColumn("after", F.coalesce("after", "over")).withColumn("before", F.coalesce("before", "under")).drop("over", "under", "me")
 
 
 def _with_breaks(body: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def _with_breaks(body: DataFrame) -> DataFrame:
     return (
         body.withColumn("left", F.regexp_extract(t, _LAST, 1))
         .withColumn("mark", F.regexp_extract(t, _LAST, 2))
-        .withColumn("right", F.regexp_extract(F.ltrim(F.coalesce("after", F.lit(""))), _FIRST, 1))
+        .withColumn("right", F.regexp_extract(F.ltrim(F.coalesce("after.text", F.lit(""))), _FIRST, 1))
     )
 
 
@@ -178,10 +178,10 @@ def _contexts(roles: DataFrame) -> DataFrame:
 
 def line_defects(lines: DataFrame) -> DataFrame:
     """One row per line and defect: doc_id, page, line_no, text, defect."""
-    return _parts(lines)["defects"]
+    return scan_parts(lines)["defects"]
 
 
-def _parts(lines: DataFrame) -> dict[str, DataFrame]:
+def scan_parts(lines: DataFrame) -> dict[str, DataFrame]:
     """The stages that several steps read, each written once to the shared folder."""
     roles = cut(furniture(lines), "roles")
     vocab = cut(_vocabulary(roles), "words")
@@ -191,31 +191,62 @@ def _parts(lines: DataFrame) -> dict[str, DataFrame]:
     return {"roles": roles, "vocab": vocab, "body": body, "broken": broken, "defects": flagged.unionByName(broken).unionByName(_misread(body, broken, vocab))}
 
 
-def segment_defects(segments: DataFrame, defects: DataFrame) -> DataFrame:
+def _page_texts(roles: DataFrame, defects: DataFrame) -> DataFrame:
+    """Each text of a page once: its defects, how many lines have it, how many of them are body and titles, whether all
+    are titles, and whether its furniture stands on top."""
+    furniture_ = F.col("role").isin("running_header", "page_number")
+    lines = roles.select("doc_id", "page", "text", F.lit(None).cast("string").alias("defect"), F.lit(1).alias("one"), F.when(F.col("role") == "body", 1).otherwise(0).alias("body"), (F.col("role") == "title").alias("title"), F.when(furniture_, F.col("seq")).alias("seq"))
+    none = F.lit(None)
+    flags = defects.select("doc_id", "page", "text", "defect", F.lit(0).alias("one"), F.lit(0).alias("body"), none.cast("boolean").alias("title"), none.cast("int").alias("seq"))
+    found = lines.unionByName(flags).groupBy("doc_id", "page", "text")
+    return found.agg(F.struct(F.collect_set("defect").alias("defects"), F.sum("one").alias("lines"), F.sum("body").alias("body"), F.count_if("title").alias("titles"), F.every("title").alias("title"), (F.min("seq") <= EDGE).alias("on_top")).alias("line"))
+
+
+def _segment_lines(segments: DataFrame, roles: DataFrame, defects: DataFrame) -> DataFrame:
+    """Lines of paragraphs (doc_id, seg_id, page, pos, text) with what is known of the scanned line they come from.
+
+    That line has the same text and stands on the paragraph's page or, where the paragraph runs on, on the next one.
+    If both pages have the text, the first of the paragraphs' lines, as many as the page has, belong to the page, and
+    the others to the next; a title belongs to the start of a paragraph only. The page is part of every key, so a line
+    that stands on each page of a document meets its own page only.
+    """
+    texts = _page_texts(roles, defects)
+    near = texts.withColumn("gap", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("page", F.col("page") - F.col("gap"))
+    near = near.groupBy("doc_id", "page", "text").agg(F.max(F.when(F.col("gap") == 0, F.col("line"))).alias("here"), F.max(F.when(F.col("gap") == 1, F.col("line"))).alias("next"))
+    rows = segments.where(F.col("source").isNotNull()).dropDuplicates(["doc_id", "seg_id", "page", "source"]).select("doc_id", "seg_id", "page", F.posexplode(F.split("source", "\r?\n")).alias("pos", "text"))
+    same = Window.partitionBy("doc_id", "page", "text")
+    nth = F.row_number().over(same.orderBy(F.regexp_extract("seg_id", "(\\d+)$", 1).try_cast("int"), "seg_id", "pos"))
+    met = rows.join(near, ["doc_id", "page", "text"], "left").withColumn("nth", nth).withColumn("times", F.count(F.lit(1)).over(same))
+    beyond = F.col("here").isNull() | (F.col("next").isNotNull() & ((F.col("here.title") & (F.col("pos") > 0)) | (F.col("nth") > F.col("here.lines"))))
+    return met.select("doc_id", "seg_id", "page", "pos", "text", "nth", "times", F.when(beyond, F.col("next")).otherwise(F.col("here")).alias("line"))
+
+
+def segment_defects(segments: DataFrame, roles: DataFrame, defects: DataFrame) -> DataFrame:
     """Defects of paragraphs built from the lines: doc_id, seg_id, defect.
 
-    A line of `segments.source` has the defects of the scanned line of that text on the paragraph's page, or on the
-    pages it runs on to.
+    A line of `segments.source` has the defects of the scanned line of that text on the paragraph's page, or else on
+    the page it runs on to.
     """
-    found = defects.select("doc_id", F.col("page").alias("line_page"), "text", "defect").distinct()
-    docs = defects.select("doc_id").distinct()
-    rows = segments.where(F.col("source").isNotNull()).join(docs, "doc_id", "left_semi").select("doc_id", "seg_id", "page", F.explode(F.split("source", "\r?\n")).alias("text"))
-    met = rows.join(found, ["doc_id", "text"]).where(F.col("line_page") >= F.col("page"))
-    # a short line such as a lone figure can stand on several pages: the nearest from the paragraph's page on counts
-    near = met.groupBy("doc_id", "seg_id", "text").agg(F.min(F.col("line_page") - F.col("page")).alias("gap"))
-    return met.join(near, ["doc_id", "seg_id", "text"]).where((F.col("line_page") - F.col("page") == F.col("gap")) & (F.col("gap") <= 1)).select("doc_id", "seg_id", "defect").distinct()
+    return _segment_lines(segments, roles, defects).select("doc_id", "seg_id", F.explode("line.defects").alias("defect")).distinct()
 
 
 def repaired_paragraphs(lines: DataFrame, segments: DataFrame) -> DataFrame:
-    """Each paragraph (doc_id, seg_id) of scanned documents as continuous text: repaired."""
-    parts = _parts(lines)
+    """Each paragraph (doc_id, seg_id) of scanned documents as continuous text: repaired.
+
+    A line is left out if its text is furniture on its page. Where body lines of the page have that text too, as many
+    of the paragraphs' lines stay as the body has: the first ones below furniture at the foot, the last ones below
+    furniture on top.
+    """
+    parts = scan_parts(lines)
     wrong = misread_candidates(parts["vocab"])
     contexts = _contexts(parts["roles"])
-    marks = parts["defects"].groupBy("doc_id", "text").agg(F.collect_set("defect").alias("defects"))
     docs = parts["roles"].select("doc_id").distinct()
-    rows = segments.where(F.col("source").isNotNull()).join(docs, "doc_id", "left_semi").select("doc_id", "seg_id", F.posexplode(F.split("source", "\r?\n")).alias("pos", "text")).distinct()
-    known = rows.join(marks, ["doc_id", "text"], "left").withColumn("defects", F.coalesce("defects", F.array().cast("array<string>")))
-    kept = known.where(~F.array_contains("defects", "running_header") & ~F.array_contains("defects", "page_number"))
+    known = _segment_lines(segments.join(docs, "doc_id", "left_semi"), parts["roles"], parts["defects"])
+    known = known.withColumn("defects", F.coalesce("line.defects", F.array().cast("array<string>")))
+    out_of_flow = F.array_contains("defects", "running_header") | F.array_contains("defects", "page_number")
+    flow = F.col("line.body") + F.when(F.col("pos") == 0, F.col("line.titles")).otherwise(0)
+    stays = (flow > 0) & F.when(F.col("line.on_top"), F.col("nth") > F.col("times") - flow).otherwise(F.col("nth") <= flow)
+    kept = cut(known.where(~out_of_flow | stays).select("doc_id", "seg_id", "pos", "text", "defects"), "lines")
     pieces = F.split("text", "(?<=[^\\p{L}\\d])(?=[\\p{L}\\d])|(?<=[\\p{L}\\d])(?=[^\\p{L}\\d])")
     bits = kept.where(F.array_contains("defects", "misread")).select("doc_id", "seg_id", "pos", F.posexplode(pieces).alias("at", "piece"))
     line = Window.partitionBy("doc_id", "seg_id", "pos").orderBy("at")
@@ -237,13 +268,12 @@ def _broken(body: DataFrame, vocab: DataFrame) -> DataFrame:
     ends = ends.withColumn("joined", F.lower(F.concat("left", "right"))).withColumn("kept", F.lower(F.concat("left", F.lit("-"), "right"))).withColumn("jskel", skeleton(F.col("joined")))
     plain = vocab.where(~F.col("word").contains("-"))
     by_skel = plain.groupBy(skeleton(F.col("word")).alias("jskel")).agg(F.max("n").alias("n_joined"))
-    halves = plain.select(F.col("word"), F.col("n"))
-    got = (
-        ends.join(by_skel, "jskel", "left")
-        .join(vocab.select(F.col("word").alias("kept"), F.col("n").alias("n_kept")), "kept", "left")
-        .join(halves.select(F.col("word").alias("lw"), F.col("n").alias("n_left")), F.lower("left") == F.col("lw"), "left")
-        .join(halves.select(F.col("word").alias("rw"), F.col("n").alias("n_right")), F.lower("right") == F.col("rw"), "left")
-    )
+    # the counts of both halves and of the hyphenated word by one join
+    key = ["doc_id", "page", "line_no", "text"]
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("as"), F.lower(F.col(c)).alias("word")) for k, c in (("n_kept", "kept"), ("n_left", "left"), ("n_right", "right"))]))
+    count = lambda k: F.coalesce(F.max(F.when((F.col("as") == k) & ((F.col("as") == "n_kept") | ~F.col("word").contains("-")), F.col("n"))), F.lit(0)).alias(k)
+    counts = ends.select(*key, asked.alias("q")).select(*key, "q.*").join(vocab, "word").groupBy(*key).agg(count("n_kept"), count("n_left"), count("n_right"))
+    got = ends.join(by_skel, "jskel", "left").join(counts, key, "left")
     for c in ("n_joined", "n_kept", "n_left", "n_right"):
         got = got.withColumn(c, F.coalesce(c, F.lit(0)))
     sure = F.col("mark").rlike(f"[{_SURE_MARKS}]")
@@ -283,6 +313,5 @@ def _misread(body: DataFrame, broken: DataFrame, vocab: DataFrame) -> DataFrame:
     )
     located = split.withColumn("at", same)
     first = located.where(F.col("at") < F.length("left")).select(*key)
-    chain = located.where(F.col("at") >= F.length("left")).select("doc_id", "page", F.col("text").alias("before"), F.col("after").alias("text"))
-    second = body.select(*key, "before").withColumnRenamed("page", "page2").join(chain.withColumnRenamed("page", "page1"), ["doc_id", "before", "text"]).where("page2 >= page1").select("doc_id", F.col("page2").alias("page"), "line_no", "text")
+    second = located.where(F.col("at") >= F.length("left")).select("doc_id", "after.page", "after.line_no", "after.text")
     return plain.unionByName(first).unionByName(second).distinct().withColumn("defect", F.lit("misread"))

@@ -408,6 +408,28 @@ def test_repaired_paragraph(spark):
     assert scans.repaired_paragraphs(df, seg).first()["repaired"] == "the search of the network and the network"
 
 
+def test_body_lines_that_equal_furniture_stay(spark):
+    filler = ["the network monitors the search network", "and the network monitors the other network"] * 3
+    pages = [["*Search tree", *filler, "13", *filler, f"{p + 12}"] for p in range(4)]
+    df = scan(spark, pages)
+    seg = spark.createDataFrame([("d", "p0_s1", 0, "one\n13\ntwo"), ("d", "p1_s1", 1, "three\n13\nfour\n13\nfive"), ("d", "p2_s1", 2, "six\n14\nseven"), ("d", "p3_s0", 3, "Search tree\nSearch tree")], "doc_id string, seg_id string, page int, source string")
+    got = {r["seg_id"]: r["repaired"] for r in scans.repaired_paragraphs(df.unionByName(df), seg.unionByName(seg)).collect()}
+    # page 1 has the body line 13 and the page number 13 at its foot; the number of page 2 stands alone
+    assert got == {"p0_s1": "one 13 two", "p1_s1": "three 13 four five", "p2_s1": "six seven", "p3_s0": "Search tree Search tree"}
+
+
+def test_equal_headers_grow_linearly(spark):
+    n = 3000
+    rows = [("d", p, i, 40.0 + 30 * i, 50.0 + 30 * i, t) for p in range(n) for i, t in enumerate(["Running head of it", f"body of page {p} goes", "on and on here", "and ends so.", f"{p + 1}"])]
+    df = spark.createDataFrame(rows, "doc_id string, page int, line_no int, y0 double, y1 double, text string")
+    seg = spark.createDataFrame([("d", f"p{p}_s0", p, f"body of page {p} goes\non and on here\nand ends so.\n{p + 1}\nRunning head of it") for p in range(n)], "doc_id string, seg_id string, page int, source string")
+    parts = scans.scan_parts(df)
+    lines = scans._segment_lines(seg, parts["roles"], parts["defects"])
+    assert lines.count() == 5 * n
+    found = scans.segment_defects(seg, parts["roles"], parts["defects"]).groupBy("defect").count().collect()
+    assert {r["defect"]: r["count"] for r in found} == {"page_number": n, "running_header": n}
+
+
 def test_context_decides_between_frequent_forms(spark):
     lines = ["the big cast sang", "a low cost plan", "the big cast left", "a low cost road"] * 8
     df = scan(spark, [["*Title of it", *lines, "a low c0st rest"]])
