@@ -1,10 +1,13 @@
 """Sentence units of texts in any script.
 
-Method: the sentence-break classes of the Unicode character properties (terminators of all scripts, closers,
-separators, the rules on full stops before digits and lower-case letters), with suppression after abbreviations,
-a delimiter stack so that quotations and brackets inside a sentence do not end it, and the closing marks
-belonging to the unit they close. Scripts written without full stops (Thai, Lao, Khmer, Burmese) break at the
-blanks between two of their own letters.
+Method: the sentence-break classes of the Unicode character properties (STerm, ATerm, Close, Sp, SContinue, Lower, as
+the property Sentence_Break gives them for all scripts) with their rules on full stops before digits, lower-case
+letters and continuing marks; suppression after abbreviations of the language; quotations and brackets inside a
+sentence do not end it, and closing marks belong to the unit they close. Scripts written without full stops (Thai,
+Lao, Khmer, Burmese) break at the blanks between two of their own letters too.
+
+The language is voted in each paragraph, so a text may change it. Delimiters are paired by one pass over a paragraph
+with a stack, however far apart they stand; what has no partner in its paragraph is no delimiter.
 
 Offsets count code points, the end is exclusive, blanks around a unit belong to none.
 Defined results: null and blank texts have no units.
@@ -13,7 +16,10 @@ Defined results: null and blank texts have no units.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -32,22 +38,48 @@ _ENDERS = frozenset("etc usw usf a.m p.m m.a al Inc Ltd Co Corp ff f sq ibid jr
 # German months, after which a figure with a full stop is a date.
 _MONTHS = frozenset("Januar Februar März April Mai Juni Juli August September Oktober November Dezember Jahrhundert Jahrhunderts Klasse Ordnung Grades".split())
 
-_STOP = ".．｡"
-_TERM = "!?。！？｡।॥؟۔։።፧፨᠃᠉၊။។៕⁇⁈⁉‼…܀܁܂𑁇𑁈"
-_OPEN = "([{（［｛〔【《〈「『｢⟨⟪“„‚‘«‹\"'"
-_CLOSE = ")]}）］｝〕】》〉」』｣⟩⟫”“’»›\"'"
-_PAIR = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "｛": "｝", "〔": "〕", "【": "】", "《": "》", "〈": "〉", "「": "」", "『": "』", "｢": "｣", "⟨": "⟩", "⟪": "⟫", "“": "”", "„": "“", "‚": "‘", "«": "»", "‹": "›", "»": "«", '"': '"'}
-_EVENT = regex.compile("[.．。｡!?！？।॥؟۔։።፧၊။។៕⁇⁈⁉‼…\"“”„«»‹›「」『』｢｣()\\[\\]{}（）［］｛｝《》〈〉【】〔〕⟨⟩⟪⟫\n\r\u0085  ]")
+_ASSIGNED = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x20000)]))
+
+
+def _having(value: str) -> str:
+    """All characters with a value of the property Sentence_Break."""
+    return "".join(regex.findall(rf"\p{{Sentence_Break={value}}}", _ASSIGNED))
+
+
+def _brackets() -> dict[str, str]:
+    """Opening and closing brackets of all scripts; the code charts put the closing one behind the opening one."""
+    opening = regex.findall(r"[\p{Sentence_Break=Close}&&\p{Ps}--[‚„]]", _ASSIGNED, flags=regex.V1)
+    out = {c: chr(ord(c) + 1) for c in opening if regex.match(r"\p{Pe}", chr(ord(c) + 1))}
+    return out | {"[": "]", "{": "}"}
+
+
+_STOP = _having("ATerm") + "｡"
+# an ellipsis and a doubled exclamation mark end sentences too, though the property leaves them out
+_TERM = _having("STerm") + "…"
+_CONTINUING = frozenset(_having("SContinue"))
+_BRACKETS = _brackets()
+# Quotation marks, opening and closing.
+_QUOTES = {"「": "」", "『": "』", "｢": "｣", "“": "”", "„": "“", "‚": "‘", "«": "»", "‹": "›", "»": "«", '"': '"'}
+_PAIR = _BRACKETS | _QUOTES
+_CLOSING = frozenset(_BRACKETS.values()) | frozenset("」』｣”’»›")
+_RIGHT_BRACKETS = frozenset(_BRACKETS.values()) - frozenset("」』｣》〉⟩⟫")
+_DELIMITER = regex.compile("[" + regex.escape("".join(_PAIR) + "".join(_PAIR.values())) + "]")
+_EVENT = regex.compile("[" + regex.escape(_STOP + _TERM + "".join(_PAIR) + "".join(_PAIR.values())) + "\n\r\u0085\u2028\u2029]")
+_PARAGRAPH = regex.compile("(?:\n\n|\n\r\n|\u2029)")
 _SPACELESS = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 _SPACELESS_GAP = regex.compile(r"(?<=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}ๆฯ])\s+(?=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])")
+_SPACELESS_MARK = regex.compile("[" + regex.escape(_TERM) + r"]+[\"”)]*(?=\s)|(?<=[^\d\s.\p{L}])\.(?=\s+\p{Lu})")
+_ENDING = frozenset(_STOP + _TERM)
+_DOTS = frozenset(_having("ATerm"))
 _LATIN_BEFORE = regex.compile(r"[\p{Latin}\p{M}.°-]+$")
 _WORD_BEFORE = regex.compile(r"[\p{L}\p{M}.-]+$")
 _EAST = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
-_LOWER_AHEAD = regex.compile(r"[^\p{L}\p{M}.．。!?！？।…\n\"“”„«»「」]*\p{Ll}")
+_LOWER_AHEAD = regex.compile(r"[^\p{L}\p{M}.．。!?！？।…\n\"“”„«»「」]*\p{Sentence_Break=Lower}")
 _CONTINUES = regex.compile(r"\s*(?:また|そして|しかし|のち|やがて|次に|その後|随后|隨後|然后|然後|接着|又|再|但|而|还是|다시|또|그리고|하지만|फिर|और|फ़िर|\p{Ll})")
 _SAYING_JA = regex.compile(r"\s*(?:と|って|という|との|を|は|が|の|に|も)")
 _SAYING_ZH = regex.compile(r"[^。！？\n]{0,30}?(?:写道|说道|说|问道|问|答道|指出|认为|寫道|說|問)")
 _SAYING_HI = regex.compile(r"\s*[^।\n]{0,60}?ने\s+(?:लिखा|कहा|पूछा|बताया)")
+_SAYING_KO = regex.compile(r"\s*(?:라고|이라고|라는|이라|하고|고 )")
 _RUN_ON_KO = regex.compile(r"[\p{L}⟦\"“]")
 _PAUSE_KO = regex.compile(r"[다요까죠네라니]$")
 
@@ -97,6 +129,32 @@ def _suppressed(text: str, at: int, after: int) -> bool:
     return "." in tail and last in ABBREVIATIONS
 
 
+def delimiters(text: str) -> dict[int, int]:
+    """The place of the partner of each paired delimiter, both ways; pairs are nested. One pass with a stack."""
+    stack: list[tuple[str, int]] = []
+    wanted: Counter[str] = Counter()
+    out: dict[int, int] = {}
+    for m in _DELIMITER.finditer(text):
+        at, c = m.start(), m.group()
+        # a straight quote behind a blank and before a letter opens again
+        opens = c == '"' and text[at - 1 : at].isspace() and text[at + 1 : at + 2].isalnum()
+        if wanted[c] and not (opens and stack[-1][1] < at - 1 and stack[-1][0] == c):
+            while True:
+                want, start = stack.pop()
+                wanted[want] -= 1
+                if want == c:
+                    break
+            out[start], out[at] = at, start
+        elif c == "»":
+            if at + 1 < len(text) and not text[at + 1].isspace() and (not at or not text[at - 1].isalnum() and text[at - 1] not in ".!?…\xa0\u202f"):
+                stack.append(("«", at))
+                wanted["«"] += 1
+        elif c in _PAIR:
+            stack.append((_PAIR[c], at))
+            wanted[_PAIR[c]] += 1
+    return out
+
+
 def split_spans(text: str | None, heading: bool = False) -> list[tuple[int, int]]:
     """Start and end of each sentence unit."""
     if not text or text.isspace():
@@ -104,34 +162,46 @@ def split_spans(text: str | None, heading: bool = False) -> list[tuple[int, int]
     n = len(text)
     if heading:
         return _trim(text, [(0, n)])
+    out: list[tuple[int, int]] = []
+    start = 0
+    for m in chain(_PARAGRAPH.finditer(text), (None,)):
+        end = m.end() if m else n
+        part = text if end - start == n else text[start:end]
+        out += [(start + a, start + b) for a, b in _paragraph(part)]
+        start = end
+    return out
+
+
+def _paragraph(text: str) -> list[tuple[int, int]]:
+    n = len(text)
     kind = _script(text)
+    partner = delimiters(text)
     if kind == "th":
-        return _spaceless(text)
+        return _spaceless(text, partner)
     cuts: list[int] = []
-    stack: list[tuple[str, int]] = []
     start = 0  # of the present unit, blanks included
     i = 0
+    until = -1  # the end of the outermost open delimiter
     while i < n:
         m = _EVENT.search(text, i)
         if not m:
             break
         at, c = m.start(), m.group()
         i = at + 1
-        if c in "\n\r\u0085  ":
-            if text[at : at + 2] == "\n\n" or text[at : at + 3] == "\n\r\n" or text[at : at + 4] == "\r\n\r\n" or c == " ":
-                if not stack or at - stack[-1][1] > 400:
-                    stack.clear()
-                    cuts.append(at)
-                    start = at
+        if c in "\n\r\u0085\u2028\u2029":
             continue
-        if stack and c == stack[-1][0] and not (c == '"' and text[at - 1 : at].isspace() and at - 1 > stack[-1][1] and text[at + 1 : at + 2].isalnum()):
-            opened = stack.pop()[1]
-            if stack:
+        mate = partner.get(at)
+        if mate is not None and mate > at:
+            until = max(until, mate)
+            continue
+        if mate is not None:
+            if at < until:
                 continue
+            opened = mate
             inner_end = at
             while inner_end > opened + 1 and text[inner_end - 1].isspace():
                 inner_end -= 1
-            ended = inner_end > opened + 1 and text[inner_end - 1] in _STOP + _TERM
+            ended = inner_end > opened + 1 and text[inner_end - 1] in _ENDING
             if ended and text[inner_end - 1] == ".":
                 ended = not _suppressed(text, inner_end - 1, inner_end)
             if not ended:
@@ -143,23 +213,15 @@ def split_spans(text: str | None, heading: bool = False) -> list[tuple[int, int]
                 start = end
             i = end
             continue
-        if c in _PAIR and not (c == "“" and kind == "latin" and stack and stack[-1][0] == "“"):
-            if c == '"' or text.find(_PAIR[c], i, i + 2000) >= 0:
-                if c == '"' and text.find('"', i, i + 2000) < 0:
-                    continue
-                if c == "»" and text.find("«", i, i + 400) < 0:
-                    continue
-                stack.append((_PAIR[c], at))
-            continue
-        if c in ")]}）］｝》〉】〕⟩⟫」』｣”’»›":
+        if c not in _ENDING:
             continue
         # a terminator
         j = at
-        while j < n and (text[j] in _TERM or text[j] in _STOP):
+        while j < n and text[j] in _ENDING:
             j += 1
         run = text[at:j]
         i = j
-        if stack:
+        if at < until:
             continue
         end = _closers(text, j)
         after = end
@@ -175,7 +237,7 @@ def split_spans(text: str | None, heading: bool = False) -> list[tuple[int, int]
                 start = end
                 i = max(i, end)
                 continue
-        if run == "." or run == "．":
+        if len(run) == 1 and run in _DOTS:
             if not gap:
                 continue
             if text[at - 1 : at].isspace() or at == 0:
@@ -203,6 +265,8 @@ def split_spans(text: str | None, heading: bool = False) -> list[tuple[int, int]
                 continue
             if text[after].islower():
                 continue
+        if text[after] in _CONTINUING and not gap:
+            continue
         cuts.append(end)
         start = end
         i = max(i, end)
@@ -214,9 +278,7 @@ def _closers(text: str, at: int) -> int:
     """The position behind closing quotes and brackets; a blank may stand before » only."""
     n = len(text)
     while at < n:
-        if text[at] in ")]}）］｝〕】》〉」』｣⟩⟫”’":
-            at += 1
-        elif text[at] in "»›":
+        if text[at] in _CLOSING:
             at += 1
         elif text[at] in "   " and at + 1 < n and text[at + 1] in "»›":
             at += 2
@@ -233,7 +295,7 @@ def _ends_after_quote(text: str, closer: str, lead: str, end: int, kind: str) ->
         after += 1
     if after >= n:
         return False
-    bracket = closer in ")]}）］｝〕】"
+    bracket = closer in _RIGHT_BRACKETS
     if bracket:
         if lead:
             return False
@@ -251,25 +313,26 @@ def _ends_after_quote(text: str, closer: str, lead: str, end: int, kind: str) ->
     if kind == "hi":
         return introduced and not _SAYING_HI.match(text, end)
     if kind == "ko":
-        return not regex.match(r"\s*(?:라고|이라고|라는|이라|하고|고 )", text, end)
+        return not _SAYING_KO.match(text, end)
     return not _LOWER_AHEAD.match(text, after) or not nxt.isalpha() and not _LOWER_AHEAD.match(text, after)
 
 
-def _spaceless(text: str) -> list[tuple[int, int]]:
-    """Scripts without sentence marks: a blank between two of their letters divides units, outside quotations."""
-    cuts, depth_until = [], -1
-    quotes = [m.start() for m in re.finditer('["“”]', text)]
-    inside = [(a, b) for a, b in zip(quotes[::2], quotes[1::2], strict=False)]
-    for m in _SPACELESS_GAP.finditer(text):
-        if any(a < m.start() < b for a, b in inside):
-            continue
-        if m.start() < depth_until:
-            continue
-        cuts.append(m.start())
-    for m in regex.finditer(r"[!?…။]+[\"”)]*(?=\s)|(?<=[^\d\s.\p{L}])\.(?=\s+\p{Lu})", text):
-        if not any(a < m.start() < b for a, b in inside):
-            cuts.append(m.end())
-    bounds = [0, *sorted(set(cuts)), len(text)]
+def _spaceless(text: str, partner: dict[int, int]) -> list[tuple[int, int]]:
+    """Scripts that leave the sentence mark out: a blank between two of their letters divides units, outside delimiters."""
+    inside, until = [], -1
+    for a in sorted(partner):
+        if a > until and partner[a] > a and text[a] in '"“”„«「':
+            until = partner[a]
+            inside.append((a, until))
+    starts = [a for a, _ in inside]
+
+    def outside(at: int) -> bool:
+        k = bisect_left(starts, at) - 1
+        return k < 0 or at >= inside[k][1]
+
+    cuts = {m.start() for m in _SPACELESS_GAP.finditer(text) if outside(m.start())}
+    cuts |= {m.end() for m in _SPACELESS_MARK.finditer(text) if outside(m.start())}
+    bounds = [0, *sorted(cuts), len(text)]
     return _trim(text, list(zip(bounds, bounds[1:], strict=False)))
 
 

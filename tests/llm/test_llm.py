@@ -218,6 +218,31 @@ def test_sentence_units():
     assert units("3.1 query planner. More", heading=True) == ["3.1 query planner. More"]
 
 
+def test_terminators_of_every_script_end_a_sentence():
+    import regex
+
+    marks = regex.findall(r"\p{Sentence_Break=STerm}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x20000)])))
+    assert len(marks) > 140
+    for c in marks:
+        assert units(f"One two{c} Three four") == [f"One two{c}", "Three four"], hex(ord(c))
+    assert units("ភាសា​ខ្មែរ។ ប្រទេស") == ["ភាសា​ខ្មែរ។", "ប្រទេស"]
+    assert units("ᠮᠣᠩᠭᠣᠯ᠃ ᠬᠡᠯᠡ") == ["ᠮᠣᠩᠭᠣᠯ᠃", "ᠬᠡᠯᠡ"] and units("Այո։ Ոչ։") == ["Այո։", "Ոչ։"]
+
+
+def test_length_of_a_quotation_does_not_matter():
+    for n in (3, 700, 5000):
+        for a, b in ("“”", "()", "«»", "【】"):
+            inside = "so it went. " * n
+            assert units(f"They wrote {a}{inside}end{b} in it. Next one.") == [f"They wrote {a}{inside}end{b} in it.", "Next one."], (n, a)
+    assert units("Open (without end. Next one (here) goes. Last.") == ["Open (without end.", "Next one (here) goes.", "Last."]
+
+
+def test_language_may_change_between_paragraphs():
+    ko, en, th = "그는 \"좋다.\"라고 했다. 값이 ... 떨어졌다.", "Dr. Who saw it. He left.", "ค่าลดลงเหลือ 0.15 ในที่สุด ดังรูปที่ 4 ต้นไม้"
+    parts = [ko, en, th, en * 1]
+    assert units("\n\n".join(parts)) == [u for p in parts for u in units(p)]
+
+
 def test_units_cover_all_but_blanks():
     rng, alphabet = random.Random(5), "aB. !?\"()“”「」。、1 \n한다ไทย…»«"
     for _ in range(3000):
