@@ -1,12 +1,13 @@
 """Text that looks the same but is made of different characters.
 
 Method: the vocabulary is a trie over look classes; a weighted edit automaton walks it, with cost zero for
-look-alikes and ignorable characters. A text that reaches the end of an entry within the budget takes that
-entry's spelling; all others are normalised character by character from the same table.
+look-alikes and ignorable characters and one for every other edit. A text that reaches the end of an entry within the
+budget takes that entry's spelling; all others are normalised character by character from the same table. Both queries
+walk the same automaton with budget 0, so what is found to look like an entry is also given its spelling.
 
 The look of a text does not change with width, joined or separate accents and letters, invisible characters,
-kinds of blank and hyphen, and look-alike letters of other scripts. Case, visible accents, raised or lowered
-digits and further visible signs do change it.
+kinds of blank and hyphen, blanks at the ends, and look-alike letters of other scripts. Case, visible accents, raised
+or lowered digits and further visible signs do change it.
 
 Defined results: null stays null and matches nothing; a text of invisible characters only has the empty look.
 """
@@ -16,10 +17,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from typing import ClassVar
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Letters and signs of other scripts, and the letter each looks like.
@@ -38,7 +40,6 @@ _LOOKS = {
     # Apostrophe-like
     "＇": "'",
 }
-_KANA = {k: v for k, v in _LOOKS.items() if "\u3040" <= k <= "\u30ff"}
 _WIDTH = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<square>"}
 # Compatibility signs that are visibly different from their parts.
 _KEEP = frozenset("…‥‼⁇⁈⁉™℠½¼¾⅓⅔№℃℉")
@@ -75,12 +76,10 @@ def look(c: str) -> str:
 
 
 class Looks:
-    """Memo of look classes with canonical order of stacked accents."""
+    """Memo of look classes."""
 
-    def __init__(self, kana: bool = True) -> None:
+    def __init__(self) -> None:
         self.memo: dict[str, str] = {}
-        if not kana:
-            self.memo.update({k: k for k in _KANA if k not in "ベペ"})
 
     def __getitem__(self, c: str) -> str:
         got = self.memo.get(c)
@@ -91,9 +90,25 @@ class Looks:
             self.memo[c] = got
         return got
 
+    def steps(self, text: str) -> Iterator[str]:
+        """The look classes of a text one by one; stacked accents in canonical order, ignorable characters left out."""
+        marks: list[str] = []
+        for c in text:
+            for k in self[c]:
+                if k >= "\u0300" and unicodedata.combining(k):
+                    marks.append(k)
+                    continue
+                if marks:
+                    yield from sorted(marks, key=unicodedata.combining)
+                    marks = []
+                yield k
+        yield from sorted(marks, key=unicodedata.combining)
+
     def of(self, text: str) -> str:
-        out = "".join(map(self.__getitem__, text))
-        return out if out.isascii() else unicodedata.normalize("NFD", out)
+        return "".join(self.steps(text))
+
+
+Node = dict  # look class -> node; "" -> entries that end here
 
 
 class LookTrie:
@@ -101,92 +116,75 @@ class LookTrie:
 
     def __init__(self, entries: Iterable[tuple[int, str]]) -> None:
         self.looks = Looks()
-        self.root: dict = {}
-        self.ends: dict[int, list[tuple[int, str]]] = {}
+        self.root: Node = {}
         for key, text in entries:
             if text is None:
                 continue
             node = self.root
             for c in self.looks.of(text).strip(" "):
                 node = node.setdefault(c, {})
-            node.setdefault("", []).append((key, text))
+            if node is not self.root:
+                node.setdefault("", []).append((key, text))
 
     def walk(self, text: str, budget: int = 0) -> list[tuple[int, str, int]]:
-        """Entries that `text` reaches, with their cost; look-alikes and ignorables cost nothing.
+        """Entries that `text` reaches within the budget, with their costs.
 
-        With budget 0 the automaton has a single state and stops at the first sign that fits no entry.
+        The automaton's states are nodes with the least cost to get there. A look-alike and an ignorable sign cost
+        nothing, nor do blanks at the ends; another sign in place of an entry's, one too many or one too few costs 1.
         """
-        looks = self.looks
-        if budget <= 0:
-            node, pending, started = self.root, 0, False
-            marks: list[str] = []
-            for c in text:
-                for k in looks[c]:
-                    if k == " ":
-                        if not started:
-                            continue
-                        pending += 1
-                        continue
-                    while pending:
-                        node = node.get(" ")
-                        if node is None:
-                            return []
-                        pending -= 1
-                    started = True
-                    node = node.get(k)
-                    if node is None:
-                        return self._reordered(text, marks)
-            return [(key, entry, 0) for key, entry in node.get("", ())] if started else []
-        states: dict[int, tuple[dict, int]] = {id(self.root): (self.root, 0)}
-
-        def close(s: dict[int, tuple[dict, int]]) -> dict[int, tuple[dict, int]]:
-            todo = list(s.values())
-            while todo:
-                node, cost = todo.pop()
-                if cost < budget:
-                    for k, nxt in node.items():
-                        if k and (id(nxt) not in s or s[id(nxt)][1] > cost + 1):
-                            s[id(nxt)] = (nxt, cost + 1)
-                            todo.append(s[id(nxt)])
-            return s
-
-        states = close(states)
-        for c in looks.of(text).strip(" "):
-            step: dict[int, tuple[dict, int]] = {}
-
-            def put(node: dict, cost: int, step: dict = step) -> None:
-                if cost <= budget and (id(node) not in step or step[id(node)][1] > cost):
-                    step[id(node)] = (node, cost)
-
+        states = self._closed({id(self.root): (self.root, 0)}, budget)
+        ended: dict[int, tuple[Node, int]] = {}  # states before the blanks at the end
+        begun = False
+        for k in self.looks.steps(text):
+            if k == " ":
+                if not begun:
+                    continue
+                for at, (node, cost) in states.items():
+                    if "" in node and (at not in ended or ended[at][1] > cost):
+                        ended[at] = (node, cost)
+            else:
+                begun, ended = True, {}
+            reached: dict[int, tuple[Node, int]] = {}
             for node, cost in states.values():
-                put(node, cost + 1)
-                for k, nxt in node.items():
-                    if k:
-                        put(nxt, cost + (k != c))
-            states = close(step)
-            if not states:
+                nxt = node.get(k)
+                if nxt is not None:
+                    _put(reached, nxt, cost)
+                if cost < budget:
+                    _put(reached, node, cost + 1)
+                    for other, nxt in node.items():
+                        if other and other != k:
+                            _put(reached, nxt, cost + 1)
+            states = self._closed(reached, budget)
+            if not states and not ended:
                 return []
-        best = {}
-        for node, cost in states.values():
+        if not begun:
+            return []
+        best: dict[int, tuple[int, str]] = {}
+        for node, cost in [*states.values(), *ended.values()]:
             for key, entry in node.get("", ()):
                 best[key] = min((cost, entry), best.get(key, (cost, entry)))
-        return sorted((k, e, c) for k, (c, e) in best.items())
+        return sorted((key, entry, cost) for key, (cost, entry) in best.items())
 
-    def _reordered(self, text: str, _: list[str]) -> list[tuple[int, str, int]]:
-        """Stacked accents typed in another order, or split by an invisible sign, need canonical order first."""
-        raw = "".join(self.looks[c] for c in text)
-        ordered = unicodedata.normalize("NFD", raw)
-        if ordered == raw:
-            return []
-        node = self.root
-        for k in ordered.strip(" "):
-            node = node.get(k)
-            if node is None:
-                return []
-        return [(key, entry, 0) for key, entry in node.get("", ())]
+    @staticmethod
+    def _closed(states: dict[int, tuple[Node, int]], budget: int) -> dict[int, tuple[Node, int]]:
+        """The states with those added that leave signs of entries out."""
+        todo = [s for s in states.values() if s[1] < budget]
+        while todo:
+            node, cost = todo.pop()
+            for k, nxt in node.items():
+                if k and _put(states, nxt, cost + 1) and cost + 1 < budget:
+                    todo.append((nxt, cost + 1))
+        return states
+
+
+def _put(states: dict[int, tuple[Node, int]], node: Node, cost: int) -> bool:
+    if id(node) in states and states[id(node)][1] <= cost:
+        return False
+    states[id(node)] = (node, cost)
+    return True
 
 
-_UNIFY, _ALL = Looks(kana=False), Looks()
+_ALL = Looks()
 _BLANKS = str.maketrans("\t\n\r\x0b\x0c", " " * 5)
 _CYRILLIC = {v: k for k, v in _LOOKS.items() if "\u0400" <= k <= "\u045f" and len(v) == 1}
 _GREEK = {v: k for k, v in _LOOKS.items() if "\u0391" <= k <= "\u03c9" and len(v) == 1}
@@ -206,19 +204,44 @@ def _spelled(m: re.Match[str]) -> str:
     return "".join(table.get(c, c) for c in word)
 
 
-def unify(text: str | None) -> str | None:
-    """One spelling for every text of the same look, from the table alone; blanks are spaces, none at the ends.
+# Han or hiragana sign -> the katakana that looks like it; such a sign is spelled by its neighbours
+_KANA_OF = {v: k for k, v in _LOOKS.items() if "\u30a0" <= k <= "\u30ff" and k not in "ベペ"}
+_VOICED = re.compile(".[\u3099\u309a]*")
+_EAST_RUN = re.compile("[\u3040-\u309f\u30a0-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]+")
+
 
-    Only kana and the Han signs that look like them stay apart: the table can't tell which of them a text means.
+def _kana(m: re.Match[str]) -> str:
+    """A run of kana and Han signs in which each sign of two readings is spelled as its nearest sure neighbour.
+
+    Katakana beside katakana, else the Han or hiragana sign; of two neighbours equally near the right one decides if
+    both are next to the sign, else the left one. A voicing mark makes a sign sure. The result depends on the look of the run only.
     """
+    signs = _VOICED.findall(m.group())  # each with its voicing marks
+    n = len(signs)
+    sure = [None if c[0] in _KANA_OF and (len(c) == 1 or c[0] in "へり") else c[0] in _KANA_OF or "\u30a1" <= c[0] <= "\u30fa" for c in signs]
+    left: list[tuple[int, bool | None]] = []
+    seen: tuple[int, bool | None] = (n + 1, None)
+    for s in sure:
+        seen = (0, s) if s is not None else (seen[0] + 1, seen[1])
+        left.append(seen)
+    out, seen = [], (n + 1, None)
+    for i in range(n - 1, -1, -1):
+        seen = (0, sure[i]) if sure[i] is not None else (seen[0] + 1, seen[1])
+        katakana = seen[1] if seen[0] < left[i][0] or seen[0] == left[i][0] == 1 else left[i][1]
+        out.append(_KANA_OF[signs[i][0]] + signs[i][1:] if katakana and signs[i][0] in _KANA_OF else signs[i])
+    return "".join(reversed(out))
+
+
+def unify(text: str | None) -> str | None:
+    """One spelling for every text of the same look, from the table alone; blanks are spaces, none at the ends."""
     if text is None:
         return None
     if text.isascii():
         return text.translate(_BLANKS).strip(" ")
-    looked = _UNIFY.of(text).strip(" ")
+    looked = _ALL.of(text).strip(" ")
     if _OTHER_SCRIPT.search(looked):
         looked = _WORD.sub(_spelled, looked)
-    return unicodedata.normalize("NFC", looked)
+    return unicodedata.normalize("NFC", _EAST_RUN.sub(_kana, looked))
 
 
 def look_of(text: str | None) -> str | None:
@@ -226,21 +249,25 @@ def look_of(text: str | None) -> str | None:
     return _ALL.of(text).strip(" ") or None if text is not None else None
 
 
-def _trie_of(vocabulary: DataFrame, key: str, text: str, limit: int) -> list[tuple[int, str]]:
+def _entries(vocabulary: DataFrame, key: str, text: str, limit: int) -> list[tuple[int, str]] | None:
+    """The vocabulary's entries, or None if there are more than `limit`."""
     rows = vocabulary.select(key, text).where(F.col(text).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"the vocabulary has more than {limit} entries; match it by joining on the look instead")
-    return sorted((r[0], r[1]) for r in rows)
+    return None if len(rows) > limit else sorted((r[0], r[1]) for r in rows)
 
 
 def matches(df: DataFrame, column: str, vocabulary: DataFrame, *, key: str = "ref_id", entry: str = "text", budget: int = 0, limit: int = 200_000) -> DataFrame:
     """Rows of `df` whose whole text looks like a vocabulary entry without being that string.
 
-    Adds `key` and `canonical`; clashing columns of `df` are replaced. The vocabulary (at most `limit` entries,
-    checked) is built into a trie once and sent to the workers; a larger one is matched by `join_looks`.
+    Adds `key` and `canonical`; clashing columns of `df` are replaced. A vocabulary of at most `limit` entries
+    (checked) is broadcast and built into a trie once in each worker. A larger one, which no worker can hold, is
+    joined on the look, which gives the same rows; edits beyond the look (`budget` above 0) need the trie.
     """
-    entries = _trie_of(vocabulary, key, entry, limit)
-    trie_holder = _Holder(entries)
+    entries = _entries(vocabulary, key, entry, limit)
+    if entries is None:
+        if budget:
+            raise ValueError(f"a budget of edits needs a vocabulary of at most {limit} entries")
+        return join_looks(df, column, vocabulary, key=key, entry=entry)
+    shared = SharedTrie(df.sparkSession, entries)
     keep = [c for c in df.columns if c not in (key, "canonical")]
     base = df.select(*keep)
     key_type = vocabulary.schema[key].dataType
@@ -249,7 +276,7 @@ def matches(df: DataFrame, column: str, vocabulary: DataFrame, *, key: str = "re
     schema = StructType([*base.schema.fields]).add(key, key_type).add("canonical", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = trie_holder.get()
+        trie = shared.get()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
             take, keys, canon = [], [], []
@@ -265,17 +292,25 @@ def matches(df: DataFrame, column: str, vocabulary: DataFrame, *, key: str = "re
                 part = batch.take(pa.array(take, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, _arrow_int(key_type)), pa.array(canon, pa.string())], [*part.schema.names, key, "canonical"])
 
-    # nothing made of ASCII alone can look like a different string: those rows stay in the JVM
-    odd = base.where(F.col(column).rlike("[^\\x21-\\x7e ]")) if budget == 0 else base.where(F.col(column).isNotNull())
-    return odd.mapInArrow(run, schema)
+    seen = [(e, look_of(e) or "") for _, e in entries]
+    if budget or any(k.isascii() and e != k for e, k in seen):
+        # a text of ASCII alone may differ from an entry of its look
+        return base.where(F.col(column).isNotNull()).mapInArrow(run, schema)
+    # blanks apart, nothing made of ASCII alone can look like a different string: those rows stay in the JVM
+    return base.where(F.col(column).rlike("[^\\x21-\\x7e ]|^ | $")).mapInArrow(run, schema)
 
 
 def join_looks(df: DataFrame, column: str, vocabulary: DataFrame, *, key: str = "ref_id", entry: str = "text") -> DataFrame:
     """The same matches for a vocabulary of any size, as an equi-join on the look."""
-    u = F.udf(look_of)
-    left = df.withColumn("__look", u(F.col(column)))
-    right = vocabulary.select(F.col(key), F.col(entry).alias("canonical"), u(F.col(entry)).alias("__look"))
-    return left.join(right, "__look").where(F.col(column) != F.col("canonical")).drop("__look")
+
+    @F.pandas_udf("string")
+    def seen(texts: pd.Series) -> pd.Series:
+        return texts.map(look_of)
+
+    base = df.drop(key, "canonical")
+    left = base.withColumn("__look", seen(F.col(column)))
+    right = vocabulary.select(F.col(key), F.col(entry).alias("canonical")).distinct().withColumn("__look", seen(F.col("canonical")))
+    return left.join(right, "__look").where(F.col(column) != F.col("canonical")).select(*base.columns, key, "canonical")
 
 
 def _arrow_int(t) -> pa.DataType:
@@ -284,35 +319,54 @@ def _arrow_int(t) -> pa.DataType:
     return to_arrow_type(t)
 
 
-class _Holder:
-    """Ships the entries and builds the trie once in each worker."""
+class SharedTrie:
+    """The entries on their way to the workers; each worker builds one trie from them."""
 
-    def __init__(self, entries: list[tuple[int, str]]) -> None:
-        self.entries, self.trie = entries, None
+    built: ClassVar[dict[int, LookTrie]] = {}
 
-    def __getstate__(self) -> dict:
-        return {"entries": self.entries, "trie": None}
+    def __init__(self, spark: SparkSession, entries: list[tuple[int, str]]) -> None:
+        self.entries = spark.sparkContext.broadcast(entries)
+        self.name = hash(tuple(entries))
 
     def get(self) -> LookTrie:
-        if self.trie is None:
-            self.trie = LookTrie(self.entries)
-        return self.trie
+        trie = self.built.get(self.name)
+        if trie is None:
+            self.built.clear()
+            trie = self.built[self.name] = LookTrie(self.entries.value)
+        return trie
 
 
 def unify_column(df: DataFrame, column: str, to: str = "unified", vocabulary: DataFrame | None = None, *, key: str = "ref_id", entry: str = "text", limit: int = 200_000) -> DataFrame:
     """Adds the one form of each text's look: the spelling of the vocabulary's entry it looks like (of several the
-    one of the least key), else the form by table. Without a vocabulary ASCII texts stay in the JVM."""
-    holder = None if vocabulary is None else _Holder(_trie_of(vocabulary, key, entry, limit))
+    one of the least key), else the form by table.
+
+    A vocabulary above `limit` entries is joined on the look, with the same result. Without a vocabulary ASCII texts
+    stay in the JVM.
+    """
+    entries = None if vocabulary is None else _entries(vocabulary, key, entry, limit)
+    if vocabulary is not None and entries is None:
 
-    def one(text: str | None) -> str | None:
-        hits = holder.get().walk(text) if holder and text is not None else ()
-        return min(hits)[1] if hits else unify(text)
+        @F.pandas_udf("string")
+        def seen(texts: pd.Series) -> pd.Series:
+            return texts.map(look_of)
+
+        best = vocabulary.select(F.col(key).alias("__k"), F.col(entry).alias("__e")).where(F.col("__e").isNotNull())
+        best = best.withColumn("__look", seen(F.col("__e"))).where(F.col("__look").isNotNull()).groupBy("__look").agg(F.min(F.struct("__k", "__e")).alias("__best"))
+        table = unify_column(df, column, to).withColumn("__look", seen(F.col(column)))
+        return table.join(best, "__look", "left").withColumn(to, F.coalesce("__best.__e", to)).drop("__look", "__best")
+    shared = None if entries is None else SharedTrie(df.sparkSession, entries)
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
+        trie = shared.get() if shared else None
+
+        def one(text: str | None) -> str | None:
+            hits = trie.walk(text) if trie and text is not None else ()
+            return min(hits)[1] if hits else unify(text)
+
         return texts.map(one)
 
-    if holder:
+    if shared:
         return df.withColumn(to, run(F.col(column)))
     odd = F.col(column).rlike("[^\\x00-\\x7f]")
     plain = F.trim(F.translate(F.col(column), "\t\n\r\x0b\x0c", " " * 5))

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import pyarrow as pa
 import pytest
@@ -308,6 +309,58 @@ def test_unify_depends_on_the_look_only():
     assert lookalike.unify("H²") != lookalike.unify("H2") and lookalike.unify("データ") == "データ"
 
 
+def disguised(rng, text):
+    """The text with some signs replaced by others of the same look."""
+    by_look = {}
+    for c in [*lookalike._LOOKS, *"ＡＢＣａｂｃｄｅ０１２　éèａ\t\u00a0\u2003"]:
+        by_look.setdefault(lookalike._ALL.of(c), []).append(c)
+    out = []
+    for c in text:
+        if rng.random() < 0.4:
+            c = rng.choice(by_look.get(lookalike._ALL.of(c), [c]))
+        out.append(c + rng.choice(["", "", "", "\u200b", "\u00ad"]))
+    joined = unicodedata.normalize(rng.choice(["NFC", "NFD", "NFC"]), "".join(out))
+    return rng.choice(["", " ", "\t"]) + joined + rng.choice(["", " "])
+
+
+def test_equal_looks_become_equal_strings():
+    rng = random.Random(13)
+    alphabet = "abcdeABCEHKMOPTX xyop.,-0123éèàöаБжкосхΩαβνο漢字一二力口工カタニハロリへりパベー가나"
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 16)))
+        a, b = disguised(rng, text), disguised(rng, text)
+        assert lookalike.look_of(a) == lookalike.look_of(b)
+        assert lookalike.unify(a) == lookalike.unify(b) == lookalike.unify(lookalike.unify(a)), (a, b)
+        trie = lookalike.LookTrie([(1, text), (2, "other")])
+        assert [h[0] for h in trie.walk(a)] == ([1] if lookalike.look_of(text) else [])
+    for t in ("試験コーパス", "特徴ベクトル", "データ一覧", "モデルへ入力", "二人の力", "工夫", "ロボット工学", "ケーブル一本", "標本化率", "ニュース"):
+        assert lookalike.unify(t) == t and lookalike.unify(unicodedata.normalize("NFKD", t)) == t
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_automaton_costs_equal_the_edit_distance():
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abc é") for _ in range(rng.randrange(1, 7))) for _ in range(40)]
+    trie = lookalike.LookTrie(enumerate(words))
+    looks = [lookalike._ALL.of(w).strip(" ") for w in words]
+    for _ in range(300):
+        t = "".join(rng.choice("abcа é\u200b") for _ in range(rng.randrange(1, 7)))
+        seen = lookalike._ALL.of(t).strip(" ")
+        if not seen:
+            continue
+        for budget in (0, 1, 2):
+            want = {k: edits(seen, w) for k, w in enumerate(looks) if w and edits(seen, w) <= budget}
+            assert {k: c for k, _, c in trie.walk(t, budget)} == want or " " in t[-1:] or " " in t[:1], (t, budget)
+
+
 def test_matches_equal_the_join(spark):
     ship(spark)
     house = spark.createDataFrame([(1, "Search tree"), (2, "Façade"), (3, None)], "ref_id int, text string")
@@ -316,6 +369,14 @@ def test_matches_equal_the_join(spark):
     assert one == [("a", 1), ("d", 2), ("d", 2)]
     two = sorted((r["id"], r[1]) for r in lookalike.join_looks(df.drop("ref_id"), "text", house).select("id", "ref_id").collect())
     assert one == two
+    wide = house.unionByName(spark.createDataFrame([(4, "ＡＢＣ")], house.schema))
+    plain = spark.createDataFrame([("f", "ABC"), ("g", " Search tree")], "id string, text string")
+    for v in (wide, house.union(wide).distinct()):
+        for limit in (100, 2):  # above the limit the same rows by a join
+            got = sorted((r["id"], r["ref_id"]) for r in lookalike.matches(plain.unionByName(df.drop("ref_id")), "text", v, limit=limit).collect())
+            assert got == [("a", 1), ("d", 2), ("d", 2), ("f", 4), ("g", 1)]
+            uni = {(r["id"], r["unified"]) for r in lookalike.unify_column(plain, "text", vocabulary=v, limit=limit).collect()}
+            assert uni == {("f", "ＡＢＣ"), ("g", "Search tree")}
 
 
 # --- pairs
