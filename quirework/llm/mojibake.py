@@ -1,14 +1,16 @@
 """Text decoded with the wrong character encoding: detection and round-trip repair.
 
 Method: re-encode the text under candidate legacy encodings, decode strictly as the intended one, repeat for
-nested layers, and accept a step only when the garbling cost drops.
+nested layers as long as there are any, and accept a step only when the garbling cost drops. The cost drops with each
+step, so the steps end by themselves.
 
 Two families are handled:
 
 * UTF-8 bytes read as a single-byte encoding. In every single-byte encoding these show as a lead character
-  followed by one to three continuation characters, so each maximal run of high characters is re-encoded and
-  decoded strictly.
-* Double-byte East Asian text read as Latin-1 or Windows-1252, where whole stretches of high characters pair up.
+  followed by one to three continuation characters, so in each maximal run of high characters these sequences are
+  re-encoded and decoded strictly; sound characters between them stay as they are.
+* Double-byte East Asian text read as Latin-1 or Windows-1252, where whole stretches of high characters pair up and
+  are decoded strictly. Where a stretch was cut inside a sign, the half that is left becomes U+FFFD.
 
 U+FFFD marks text that was decoded with losses; it counts as garbled though nothing can restore it.
 
@@ -31,7 +33,6 @@ from pyspark.sql.types import StringType, StructType
 SINGLE = ("cp1252", "latin-1", "cp437", "mac_roman", "cp1251", "cp850", "koi8-r", "iso8859-15")
 # The double-byte encodings commonly misread as Latin-1 or Windows-1252.
 DOUBLE = ("euc_kr", "gb18030", "shift_jis", "euc_jp", "big5")
-MAX_LAYERS = 4
 LOSS = "�"
 
 
@@ -177,11 +178,13 @@ def _bytes_of(text: str) -> bytes | None:
     return bytes(out)
 
 
-def _strict(raw: bytes, enc: str) -> str | None:
-    """A strict decode; a character cut at either end may be missing its other half."""
+def _strict(raw: bytes, enc: str) -> tuple[str, int, int] | None:
+    """A strict decode, and the lone bytes before and behind it that are halves of signs cut away."""
     for a, b in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        if a + b and (len(raw) <= a + b or (a and raw[0] < 0x80) or (b and raw[-1] < 0x80)):
+            continue
         try:
-            return raw[a : len(raw) - b].decode(enc)
+            return raw[a : len(raw) - b].decode(enc), a, b
         except UnicodeDecodeError:
             continue
     return None
@@ -203,7 +206,10 @@ def _double_step(text: str) -> str | None:
         for enc in DOUBLE:
             if enc != "shift_jis" and paired < 0.8 * high:
                 continue
-            got = _strict(raw, enc)
+            whole = _strict(raw, enc)
+            if not whole:
+                continue
+            got, before, behind = whole
             if not got or LOSS in got or any(0xE000 <= ord(c) < 0xF900 for c in got):
                 continue
             wide = [c for c in got if ord(c) >= 0x1100]
@@ -229,7 +235,7 @@ def _double_step(text: str) -> str | None:
             else:
                 share = 0.5 * han / n
             if share > best_share:
-                best, best_share = got, share
+                best, best_share = LOSS * before + got + LOSS * behind, share
         return best if best is not None and best_share >= 0.45 else stretch
 
     changed = _STRETCH.sub(mend, text)
@@ -241,12 +247,11 @@ def repair(text: str | None) -> tuple[str | None, bool]:
     if text is None or text.isascii() or not _maybe().search(text):
         return text, False
     now, garbled = text, LOSS in text
-    for _ in range(MAX_LAYERS):
-        steps = [now]
-        while len(steps) <= MAX_LAYERS and (step := _single_step(steps[-1])) is not None:
-            steps.append(step)
+    while True:
+        best = now
+        while (step := _single_step(best)) is not None:
+            best = step
         # a whole repair through single bytes is no chance; half a one may be double-byte text
-        best = steps[-1]
         if garbling_cost(best) > 0.35 * garbling_cost(now):
             other = _double_step(now)
             if other is not None and garbling_cost(other) < garbling_cost(best):

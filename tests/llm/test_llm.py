@@ -278,6 +278,32 @@ def test_double_byte_and_nested():
     assert mojibake.repair(twice) == ("für später", True)
 
 
+def test_layers_of_any_number_and_halves_of_signs():
+    text = t = "für später"
+    for n in range(1, 8):
+        t = t.encode().decode("cp1252")
+        assert mojibake.repair(t) == (text, True), n
+    ko = "그래프 커널은 검색 트리를 감시한다"
+    raw = ko.encode("euc_kr")
+    assert mojibake.repair(raw[1:].decode("latin-1"))[0] == "\ufffd" + ko[1:]
+    assert mojibake.repair(raw[:-1].decode("latin-1"))[0] == ko[:-1] + "\ufffd"
+    assert mojibake.repair(raw[1:-1].decode("latin-1"))[0] == "\ufffd" + ko[1:-1] + "\ufffd"
+
+
+def test_texts_of_the_tables_come_back(spark):
+    """The restored text against the true one: sentences of the tables are garbled here and repaired."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text IS NOT NULL AND lang IN ('de', 'fr', 'ko', 'ja', 'zh', 'th', 'hi')").select("lang", "text").collect()
+    sound = [(r["lang"], x) for r in rows for x in r["text"].split("\n") if 12 <= len(x) <= 200 and not mojibake.repair(x)[1] and sum(ord(c) > 0xBF for c in x) >= 2]
+    assert len(sound) > 150
+    for wrong in ("latin-1", "cp1252", "cp437", "mac_roman", "cp1251"):
+        bad = [(x, "".join(bytes([b]).decode(wrong, errors="ignore") or chr(b) for b in x.encode("utf-8"))) for _, x in sound]
+        assert sum(mojibake.repair(b)[0] == x for x, b in bad) >= 0.98 * len(bad), wrong
+        assert all(mojibake.repair(b)[1] for _, b in bad), wrong
+    for enc, lang in (("euc_kr", "ko"), ("gb18030", "zh"), ("shift_jis", "ja"), ("euc_jp", "ja")):
+        bad = [(x, x.encode(enc).decode("latin-1")) for k, x in sound if k == lang and sum(c > "\u2fff" for c in x) >= 6 and x.encode(enc, errors="ignore").decode(enc) == x]
+        assert bad and sum(mojibake.repair(b)[0] == x for x, b in bad) >= 0.95 * len(bad), (enc, [b for b in bad if mojibake.repair(b[1])[0] != b[0]][:3])
+
+
 def test_sound_texts_stay():
     for t in (None, "", "plain", "Çok açık: ölçümü ½ saat sürdü.", "Prix : £35 ± 3 %, voir § 3 et ©X.", "√7 précède Ω·Å dans la façade", "NÃO há ÂNGULO reto", "Điểm số của X là 3, rất tốt.", "Ошибка модели", "Тhе gloѕѕаry еntry", "표본 · 3"):
         assert mojibake.repair(t) == (t, False)
