@@ -6,7 +6,8 @@ the instance; best fit places the rest in order of falling size.
 Items count only by their size, and there are at most `capacity` sizes. So the plan is made on the histogram of
 sizes, whose length does not depend on the number of items; it is a list of patterns (which sizes share a
 container, and how many such containers there are). Every item then finds its container from its rank among the
-items of its size. Ranks are found in salted groups, so that one frequent size is not ranked in one task.
+items of its size. Ranks are found in groups of about BLOCK items: the more often a size occurs, the more groups it
+has, so that no frequent size (the full parts of large items, say) is ranked in a few tasks.
 
 An item is divided only if it alone exceeds the capacity: into full containers and one rest. Items of size 0 go to
 container 0.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-SALTS = 64
+BLOCK = 1 << 16  # items of one size that are ranked in one window, about
 
 
 def _largest_at_most(sizes: list[int], x: int) -> int | None:
@@ -211,13 +212,15 @@ def pack(items: DataFrame, capacity: int, *, key: str = "doc_id", size: str = "n
     base = items.select(F.col(key), F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("long"), F.lit(0)).alias("total"))
     last = F.greatest(F.ceil(F.col("total") / capacity) - 1, F.lit(0)).cast("int")
     parts = base.select(key, "total", F.explode(F.sequence(F.lit(0), last)).alias("part"))
-    parts = parts.withColumn("start", F.col("part").cast("long") * capacity).withColumn("size", F.least(F.col("total") - F.col("start"), F.lit(capacity).cast("long"))).withColumn("salt", F.pmod(F.xxhash64(key, "part"), F.lit(SALTS)).cast("int"))
-    parts = parts.select(key, "part", "start", "size", "salt")
-    groups = cut(parts.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    histogram = {r["size"]: r["n"] for r in groups.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most capacity + 1 rows
+    parts = parts.withColumn("start", F.col("part").cast("long") * capacity).withColumn("size", F.least(F.col("total") - F.col("start"), F.lit(capacity).cast("long"))).select(key, "part", "start", "size")
+    counted = cut(parts.groupBy("size").agg(F.count(F.lit(1)).alias("n")), "sizes")  # at most capacity + 1 rows
+    histogram = {r["size"]: r["n"] for r in counted.collect()}
     places = Places(plan(histogram, capacity))
+    salts = counted.select("size", F.ceil(F.col("n") / BLOCK).alias("salts"))
+    parts = parts.join(F.broadcast(salts), "size").withColumn("salt", F.pmod(F.xxhash64(key, "part"), F.col("salts"))).drop("salts")
+    groups = parts.groupBy("size", "salt").agg(F.count(F.lit(1)).alias("n"))
     offsets = groups.withColumn("before", F.sum("n").over(Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("size", "salt", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("size", "salt").orderBy(key, "part")) - 1).join(F.broadcast(offsets), ["size", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))  # offsets: at most (capacity + 1) * SALTS rows
+    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("size", "salt").orderBy(key, "part")) - 1).join(offsets, ["size", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -107,6 +107,19 @@ def test_pack_divides_only_the_oversized(spark):
     assert packing.pack(df.limit(0), 10).count() == 0
 
 
+def test_frequent_sizes_are_ranked_in_several_groups(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(packing, "BLOCK", 16)
+    df = spark.createDataFrame([(i, 1000 if i % 3 == 0 else i % 7) for i in range(900)], "doc_id long, n_tokens long")
+    rows = packing.pack(df.unionByName(df.where("doc_id = 3")), 100).collect()
+    load, full = {}, []
+    for r in rows:
+        load.setdefault(r["container"], []).append(r["n_tokens"])
+        full += [r["container"]] * (r["n_tokens"] == 100)
+    assert len(full) == len(set(full)) == 3010 and all(sum(v) <= 100 for v in load.values())
+    assert sorted(load) == list(range(len(load))) and len(load) == 3010 + -(-sum(i % 7 for i in range(900) if i % 3) // 100)
+
+
 # --- pieces
 
 
