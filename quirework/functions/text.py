@@ -39,6 +39,10 @@ STOPWORDS = tuple(
 # Roman signs, and the shapes of captions and list markers.
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 CAPTION = "(?i)^\\s*(fig(?:ure)?\\.?|table)\\s*([0-9]+|[ivxlcdm]+\\b)"
+# Numbered headings, the title of a bibliography, and the start of a caption.
+HEAD_PREFIX = "^\\s*(?:(?:[IVXLCDM]+|[0-9]+(?:\\.[0-9]+)*|[A-Z])[.)]|(?:[IVXLCDM]+|[0-9]+(?:\\.[0-9]+)*))\\s+(?=\\S)"
+REFS_TITLE = "(?i)^\\s*(?:(?:[IVXLCDM]+|[0-9]+(?:\\.[0-9]+)*|[A-Z])[.)]?\\s+)?(?:references|bibliography|참고문헌)\\s*:?\\s*$"
+CAPTION_START = "(?i)^\\s*(?:fig(?:ure)?\\.?|table)\\s*(?:[0-9]|[ivxlcdm]+\\b)"
 MARKER = "^\\s*(?:[•◦–▪*]|\\(?(?:viii|vii|iii|vi|iv|ix|ii|i|v|x)[.)]|\\(?[0-9]{1,2}[.)]|\\(?[a-z][.)]|⟦EQ[0-9]+⟧)\\s+"
 
 

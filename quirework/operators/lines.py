@@ -61,12 +61,30 @@ def lines_of(spans: DataFrame) -> DataFrame:
     )
 
 
+def majority(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """A3: the size (one decimal) most signs of a group have, an empty span as one sign; of equal ones the first seen. Spans are distinct."""
+    by = spans.withColumn("n", F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1))).groupBy(*keys, (F.floor(F.col("size") * 10 + 0.5) / 10).alias("majority"))
+    return _most(by.agg(F.sum("n").alias("weight"), F.min(F.struct("page", "block_no", "line_no", "span_no")).alias("seen")), keys)
+
+
+def _most(by: DataFrame, keys: list[str]) -> DataFrame:
+    best = by.groupBy(*keys).agg(F.min_by("majority", F.struct(-F.col("weight"), "seen")).alias("majority"))
+    return best.select(*keys, "majority")
+
+
 def majority_size(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """The size (one decimal) most signs of a group have; of equal ones the first seen."""
-    s = spans.dropDuplicates([*LINE, "span_no"]).withColumn("n", F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "\\s", "")))
-    by = s.groupBy(*keys, (F.floor(F.col("size") * 10 + 0.5) / 10).alias("majority")).agg(F.sum("n").alias("weight"), F.min(F.struct("page", "block_no", "line_no", "span_no")).alias("seen"))
-    order = Window.partitionBy(*keys).orderBy(F.col("weight").desc(), "seen")
-    return by.withColumn("k", F.row_number().over(order)).where("k = 1").select(*keys, "majority")
+    """`majority` of spans that may be repeated."""
+    return majority(spans.dropDuplicates([*LINE, "span_no"]), keys)
+
+
+def body_sizes(spans: DataFrame, pages: DataFrame) -> DataFrame:
+    """A2: the size most signs of a document have outside the bands of page furniture; 10 if there are none."""
+    s = spans.dropDuplicates([*LINE, "span_no"])
+    lines = s.groupBy(*LINE).agg(F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.collect_list(F.struct("span_no", "size", F.length(F.coalesce("text", F.lit(""))).alias("n"))).alias("spans"))
+    inner = with_page(lines, pages).where((F.col("bottom") > F.col("height") * G.BAND) & (F.col("top") < F.col("height") * (1 - G.BAND)))
+    each = inner.select(*LINE, F.inline("spans")).groupBy("doc_id", (F.floor(F.col("size") * 10 + 0.5) / 10).alias("majority"))
+    most = _most(each.agg(F.sum("n").alias("weight"), F.min(F.struct("page", "block_no", "line_no", "span_no")).alias("seen")), ["doc_id"])
+    return spans.select("doc_id").distinct().join(most, "doc_id", "left").select("doc_id", F.coalesce("majority", F.lit(10.0)).alias("majority"))
 
 
 def with_page(lines: DataFrame, pages: DataFrame) -> DataFrame:
@@ -74,12 +92,17 @@ def with_page(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return lines.join(pages.select("doc_id", "page", "width", "height").dropDuplicates(["doc_id", "page"]), ["doc_id", "page"])
 
 
-def furniture(lines: DataFrame) -> Column:
-    """Lines in the top and bottom band, or wholly in a side margin outside the text's extent; needs width, height."""
-    b = G.box("x0", "y0", "x1", "y1")
-    banded = G.in_band(b, F.col("height"))
-    return banded | (F.col("x0") >= F.col("width") * (1 - G.SIDE)) | (F.col("x1") <= F.col("width") * G.SIDE)
+def with_extent(lines: DataFrame) -> DataFrame:
+    """Adds text_left and text_right, the extent of the lines of a page that do not lie in its side margins; needs width."""
+    inner = (F.col("x0") < F.col("width") * (1 - G.SIDE)) & (F.col("x1") > F.col("width") * G.SIDE)
+    page = Window.partitionBy("doc_id", "page")
+    left = F.coalesce(F.min(F.when(inner, F.col("x0"))).over(page), F.col("width") * G.SIDE)
+    right = F.coalesce(F.max(F.when(inner, F.col("x1"))).over(page), F.col("width") * (1 - G.SIDE))
+    return lines.withColumn("text_left", left).withColumn("text_right", right)
 
 
-def is_prose(text: Column) -> Column:
-    return (F.length(X.dense(text)) >= 15) & (X.stopword_count(text) >= 2)
+def furniture() -> Column:
+    """F8: lines in the top and bottom band, or wholly in a side margin outside the text's extent; needs width, height, text_left, text_right."""
+    banded = G.in_band(G.box("x0", "y0", "x1", "y1"), F.col("height"))
+    right = (F.col("x0") >= F.col("width") * (1 - G.SIDE)) & (F.col("x0") >= F.col("text_right"))
+    return banded | right | ((F.col("x1") <= F.col("width") * G.SIDE) & (F.col("x1") <= F.col("text_left")))

@@ -31,6 +31,13 @@ def nearest_region(items: DataFrame, regions: DataFrame, key: list[str], reach:
     return near.groupBy(*PAGE, *key).agg(F.min_by(F.struct("region_no", "gap"), F.struct("gap", -F.col("region_no"))).alias("n")).select(*PAGE, *key, F.col("n.region_no").alias("region_no"), F.col("n.gap").alias("gap"))
 
 
+def region_key(items: DataFrame, regions: DataFrame, key: list[str]) -> DataFrame:
+    """The region each item overlaps most if it covers half of it, else the nearest one, else -1."""
+    best = best_region(items, regions, key).select(*PAGE, *key, F.when(F.col("share") >= 0.5, F.col("region_no")).alias("a"))
+    near = nearest_region(items, regions, key).select(*PAGE, *key, F.col("region_no").alias("c"))
+    return best.join(near, [*PAGE, *key], "left").select(*PAGE, *key, F.coalesce("a", "c", F.lit(-1)).alias("region_key"))
+
+
 def first_holding(items: DataFrame, regions: DataFrame, key: list[str]) -> DataFrame:
     """Each item with the first region that holds its centre; null if none."""
     held = _pairs(items, regions).where(G.centre_inside(F.col("b"), F.col("rb"))).groupBy(*PAGE, *key).agg(F.min("region_no").alias("region_no"))

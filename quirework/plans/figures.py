@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import folds, spatial
+from ..operators import cascade, folds, spatial
 from ..operators import lines as L
 from ..sources.tables import table
 from .layout import lines, segs
@@ -72,8 +72,9 @@ def figure_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def text_tables(spark: SparkSession, d: str) -> DataFrame:
-    """W10, and C6 in part: lines of text tables under their captions, else above them."""
-    return folds.table_lines(captions(spark, d).where(F.col("key").startswith("table")), lines(spark, d))
+    """Regions of text tables under their captions, else above them."""
+    shaped = lines(spark, d).withColumn("heading", F.col("text").rlike(X.HEAD_PREFIX) & X.caps_only(F.col("text"))).join(cascade.line_cells(table(spark, d, "spans")), L.LINE)
+    return folds.table_regions(captions(spark, d).where(F.col("key").startswith("table")), shaped)
 
 
 _BOX = "CAST(from_json(bbox, '[\"DOUBLE\"]') AS DOUBLE[])"

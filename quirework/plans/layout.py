@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import blocks, folds, islands, spatial
+from ..operators import blocks, cascade, folds, islands, spatial
 from ..operators import lines as L
 from ..sources.tables import table
 from .register import query
@@ -67,28 +67,35 @@ def line_styles(spark: SparkSession, d: str) -> DataFrame:
     return lines(spark, d).select(*L.LINE, ((n > 0) & (F.col("n_bold") >= 0.6 * n)).alias("is_bold"), ((n > 0) & (F.col("n_italic") >= 0.6 * n)).alias("is_italic"))
 
 
-_MAJ = f"""WITH s AS (SELECT *, length(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) AS n, floor(size * 10 + 0.5) / 10 AS majority FROM {_SPANS}),
-g AS (SELECT KEYS, majority, sum(n) AS weight, min(((page::BIGINT * 1000 + block_no) * 10000 + line_no) * 100 + span_no) AS seen FROM s GROUP BY ALL)
-SELECT KEYS, majority FROM g QUALIFY row_number() OVER (PARTITION BY KEYS ORDER BY weight DESC, seen) = 1"""
+_MAJ = f"""WITH s AS (SELECT *, greatest(length(coalesce(text, '')), 1) AS n, floor(size * 10 + 0.5) / 10 AS majority FROM {_SPANS}),
+g AS (SELECT doc_id, page, block_no, line_no, majority, sum(n) AS weight, min(span_no) AS seen FROM s GROUP BY ALL)
+SELECT doc_id, page, block_no, line_no, majority FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, page, block_no, line_no ORDER BY weight DESC, seen) = 1"""
+_BODY = f"""WITH {_PAGES}, s AS (SELECT *, length(coalesce(text, '')) AS n, floor(size * 10 + 0.5) / 10 AS majority, min(y0) OVER l AS top, max(y1) OVER l AS bottom FROM {_SPANS} WINDOW l AS (PARTITION BY doc_id, page, block_no, line_no)),
+i AS (SELECT s.* FROM s JOIN pages USING (doc_id, page) WHERE bottom > height * 0.05::DOUBLE AND top < height * (1 - 0.05::DOUBLE)),
+g AS (SELECT doc_id, majority, sum(n) AS weight, min(((page::BIGINT * 1000 + block_no) * 10000 + line_no) * 100 + span_no) AS seen FROM i GROUP BY ALL),
+m AS (SELECT doc_id, majority FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, seen) = 1)
+SELECT doc_id, coalesce(majority, 10.0) AS majority FROM (SELECT DISTINCT doc_id FROM spans) LEFT JOIN m USING (doc_id)"""
 
 
-@query(_MAJ.replace("KEYS", "doc_id"))
+@query(_BODY)
 def body_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """A2: the size most signs of a document have."""
-    return L.majority_size(spans(spark, d), ["doc_id"])
+    """A2: the size most signs of a document have outside the furniture bands."""
+    return L.body_sizes(spans(spark, d), table(spark, d, "layout_pages"))
 
 
-@query(_MAJ.replace("KEYS", "doc_id, page, block_no, line_no"))
+@query(_MAJ)
 def line_sizes(spark: SparkSession, d: str) -> DataFrame:
     """A3: the size most signs of a line have."""
     return L.majority_size(spans(spark, d), L.LINE)
 
 
-@query(f"""WITH {_LINES}, {_PAGES} SELECT doc_id, page, block_no, line_no, y1 <= height * 0.05 OR y0 >= height * (1 - 0.05::DOUBLE) OR x0 >= width * (1 - 0.08::DOUBLE) OR x1 <= width * 0.08 AS furniture FROM lines JOIN pages USING (doc_id, page)""")
+@query(f"""WITH {_LINES}, {_PAGES}, p AS (SELECT * FROM lines JOIN pages USING (doc_id, page)),
+e AS (SELECT doc_id, page, min(x0) AS text_left, max(x1) AS text_right FROM p WHERE x0 < width * (1 - 0.08::DOUBLE) AND x1 > width * 0.08::DOUBLE GROUP BY ALL)
+SELECT doc_id, page, block_no, line_no, y1 <= height * 0.05::DOUBLE OR y0 >= height * (1 - 0.05::DOUBLE) OR (x0 >= width * (1 - 0.08::DOUBLE) AND x0 >= coalesce(text_right, width * (1 - 0.08::DOUBLE)))
+  OR (x1 <= width * 0.08::DOUBLE AND x1 <= coalesce(text_left, width * 0.08::DOUBLE)) AS furniture FROM p LEFT JOIN e USING (doc_id, page)""")
 def furniture_lines(spark: SparkSession, d: str) -> DataFrame:
-    """F8: lines in the page's bands and margins."""
-    p = paged(spark, d)
-    return p.select(*L.LINE, L.furniture(p).alias("furniture"))
+    """F8: lines in the page's bands, and in the side margins where they lie outside the text."""
+    return L.with_extent(paged(spark, d)).select(*L.LINE, L.furniture().alias("furniture"))
 
 
 @query(f"""WITH {_LINES}, e AS (SELECT doc_id, page, min(x0) AS cx0, max(x1) AS cx1 FROM lines GROUP BY ALL),
@@ -335,16 +342,44 @@ def table_blocks(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", "page", "block_no", "cells", "digits", "edges", ok.alias("is_table"))
 
 
+def _flow(spark: SparkSession, d: str) -> DataFrame:
+    return cascade.flow_of(spans(spark, d), table(spark, d, "layout_pages").dropDuplicates(["doc_id", "page"]))
+
+
 @query()
 def page_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Columns of a page from the left edges of its lines."""
-    return folds.cluster_columns(paged(spark, d))
+    """Furniture, band and column of every line but display equations."""
+    return _flow(spark, d).select(*L.LINE, "furniture", "band", "col")
 
 
 @query()
 def visual_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of one row joined from left to right."""
-    return folds.visual_rows(folds.cluster_columns(paged(spark, d)))
+    """Lines of one row of running text joined from left to right."""
+    return cascade.rows_in_flow(spans(spark, d), _flow(spark, d)).select(*cascade.ROW, "text", *cascade.BOX)
+
+
+@query()
+def formula_zones(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with the zone they belong to, and rows that open a list item."""
+    return cascade.zoned_rows(spans(spark, d), _flow(spark, d)).select(*cascade.ROW, "text", "cls", "fired", "zone")
+
+
+@query()
+def classified_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Spans and pages as classified segments in reading order, all passes in one plan."""
+    return cascade.build_segments(spans(spark, d), table(spark, d, "layout_pages"))
+
+
+# The label of a layout region that the stored segment kinds stand for.
+_LABELS = {"body": "text", "heading": "paragraph_title", "caption": "figure_title", "header_footer": "header", "formula": "display_formula", "author": "text", "reference": "reference_content", "figure_text": "chart", "algorithm": "algorithm"}
+
+
+@query()
+def classified_in_regions(spark: SparkSession, d: str) -> DataFrame:
+    """As classified_segments, with the stored segments' boxes as the layout model's regions."""
+    label = F.create_map(*[F.lit(x) for kv in _LABELS.items() for x in kv])[F.col("kind")]
+    regions = segs(spark, d).select("doc_id", "page", F.col("idx").alias("region_no"), label.alias("label"), F.lit(0.9).alias("score"), F.col("b").alias("box"))
+    return cascade.build_segments(spans(spark, d), table(spark, d, "layout_pages"), regions)
 
 
 @query()
@@ -355,17 +390,16 @@ def edge_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs with their first kind."""
-    sizes = L.majority_size(spans(spark, d), L.LINE).withColumnRenamed("majority", "size")
-    body = L.majority_size(spans(spark, d), ["doc_id"]).withColumnRenamed("majority", "body_size")
-    ls = folds.cluster_columns(paged(spark, d)).join(sizes, L.LINE).join(body, "doc_id")
-    return folds.paragraphs(ls)
+    """The paragraph of each row of a column, and its kind."""
+    rows = cascade.zoned_rows(spans(spark, d), _flow(spark, d))
+    return folds.paragraph_numbers(rows).select(*cascade.ROW, "para_no", "para_kind", "text")
 
 
 @query()
 def merged_headings(spark: SparkSession, d: str) -> DataFrame:
     """Headings broken over lines put together."""
-    return folds.merge_headings(segs(spark, d))
+    s = segs(spark, d).where("x0 IS NOT NULL").select("doc_id", "page", "seg_id", "idx", F.lit(0).alias("col"), "kind", F.col("source").alias("text"), (F.col("y1") - F.col("y0")).alias("size"), F.lit(10.0).alias("body_size"), *cascade.BOX)
+    return cascade.merged_headings(s, None).select("doc_id", "page", "seg_id", "kind", "text", *cascade.BOX)
 
 
 @query()
@@ -384,4 +418,4 @@ def kept_regions(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def flow_regions(spark: SparkSession, d: str) -> DataFrame:
     """Runs of text in a column broken by fixed boxes, and stacked tops."""
-    return folds.flow_regions(segs(spark, d))
+    return folds.flow_regions(L.with_page(segs(spark, d), table(spark, d, "layout_pages")))

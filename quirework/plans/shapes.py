@@ -117,10 +117,7 @@ SELECT l.doc_id, l.page, l.block_no, l.line_no, coalesce(CASE WHEN b.inter >= 0.
 FROM lines l LEFT JOIN b USING (doc_id, page, block_no, line_no) LEFT JOIN n USING (doc_id, page, block_no, line_no)""")
 def region_keys(spark: SparkSession, d: str) -> DataFrame:
     """The overlapped region if it covers half of the line, else the nearest, else -1."""
-    items, regions, key = _items(spark, d), _regions(spark, d), ["block_no", "line_no"]
-    best = spatial.best_region(items, regions, key).select(*L.LINE, F.when(F.col("share") >= 0.5, F.col("region_no")).alias("a"))
-    near = spatial.nearest_region(items, regions, key).select(*L.LINE, F.col("region_no").alias("c"))
-    return best.join(near, L.LINE, "left").select(*L.LINE, F.coalesce("a", "c", F.lit(-1)).alias("region_key"))
+    return spatial.region_key(_items(spark, d), _regions(spark, d), ["block_no", "line_no"])
 
 
 _SIX = "('header_footer', 'formula', 'author', 'reference', 'figure_text', 'algorithm')"

@@ -1,6 +1,4 @@
 import numpy as np
-from hypothesis import given
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quirework.functions import geometry as G
@@ -51,30 +49,6 @@ def test_islands_equal_the_loop(spark):
     assert got == want
 
 
-@given(st.lists(st.tuples(st.floats(0, 500), st.floats(1, 300)), max_size=20))
-def test_columns_are_numbered_from_the_left(boxes):
-    got = folds.column_numbers([(x, x + w) for x, w in sorted(boxes)], 612.0)
-    assert len(got) == len(boxes) and (not got or (got[0] == 0 and set(got) == set(range(max(got) + 1))))
-
-
-def test_rows_grow():
-    assert folds.row_groups([(0, 10), (4, 14), (9, 19), (40, 50)]) == [0, 0, 0, 1]
-    assert folds.row_groups([]) == []
-
-
-def para(spark, lines):
-    rows = [("d", 0, 0, i, t, x0, y0, x0 + 230, y0 + 9.0, 9.0, 9.0, False, 10, 0, 0) for i, (t, x0, y0) in enumerate(lines)]
-    schema = "doc_id string, page int, block_no int, line_no int, text string, x0 double, y0 double, x1 double, y1 double, size double, body_size double, has_math boolean, n_signs int, n_bold int, col int"
-    return [r["text"] for r in folds.paragraphs(spark.createDataFrame(rows, schema)).orderBy("para_no").collect()]
-
-
-def test_paragraph_machine(spark):
-    assert para(spark, [("a lone line", 54.0, 0.0), ("2) is no item", 54.0, 11.0), ("here", 54.0, 22.0)]) == ["a lone line 2) is no item here"]
-    assert para(spark, [("1) first", 54.0, 0.0), ("2) second", 54.0, 11.0)]) == ["1) first", "2) second"]
-    assert para(spark, [("text ends here.", 54.0, 0.0), ("Theorem 1. All is well.", 54.0, 11.0)]) == ["text ends here.", "Theorem 1. All is well."]
-    assert para(spark, [("far", 54.0, 0.0), ("apart", 54.0, 60.0)]) == ["far", "apart"]
-
-
 def test_repeats_do_not_chain(spark):
     rows = [("d", 0, 0, i, "t", x, 0.0, x + 9, 9.0) for i, x in enumerate((0.0, 0.8, 1.6))]
     df = spark.createDataFrame(rows, "doc_id string, page int, block_no int, line_no int, text string, x0 double, y0 double, x1 double, y1 double")

@@ -145,5 +145,8 @@ def test_text_table_above_its_caption(spark):
     box = "doc_id string, page int, {} string, x0 double, y0 double, x1 double, y1 double"
     lines = [("d", 0, f"1.{i} 2.{i}", 100.0, 100.0 + 12 * i, 300.0, 110.0 + 12 * i) for i in range(4)] + [("d", 0, "far", 100.0, 20.0, 300.0, 30.0), ("d", 1, "1 2", 100.0, 60.0, 300.0, 70.0), ("d", 1, "3 4", 100.0, 100.0, 300.0, 110.0)]
     caps = [("d", 0, "table-1", 100.0, 152.0, 300.0, 162.0), ("d", 1, "table-2", 100.0, 80.0, 300.0, 90.0)]
-    got = folds.table_lines(spark.createDataFrame(caps, box.format("key")), spark.createDataFrame(lines, box.format("text"))).collect()
-    assert {tuple(r)[2:] for r in got} == {("table-1", 4, 146.0, 100.0, "above"), ("table-2", 1, 110.0, 100.0, "below")}
+    cells = F.array(*[F.struct(F.lit(100.0 + 60 * k).alias("x0"), F.lit(f"{k}.5").alias("text")) for k in range(3)])
+    shaped = spark.createDataFrame(lines, box.format("text")).withColumn("heading", F.lit(False)).withColumn("cells", cells)
+    got = folds.table_regions(spark.createDataFrame(caps, box.format("key")), shaped).collect()
+    # the second caption has one line on either side: no table
+    assert [tuple(r)[2:] for r in got] == [("table-1", "above", 4, 100.0, 100.0, 300.0, 146.0)]
