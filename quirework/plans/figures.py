@@ -104,31 +104,28 @@ def page_titles(spark: SparkSession, d: str) -> DataFrame:
     return h.join(t, "doc_id").where("tall = most").groupBy("doc_id").agg(F.min("seg_id").alias("title_seg"))
 
 
-@query("""WITH n AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, ' and ', ','), '[,&]'), lambda p: trim(p)), lambda p: p <> '') AS parts FROM documents WHERE text IS NOT NULL AND length(text) < 400),
-q AS (SELECT doc_id, parts, len(list_filter(parts, lambda p: regexp_full_match(p, '[A-Z][^ 0-9]*(?: [A-Z][^ 0-9]*){1,4}'))) AS named FROM n)
-SELECT doc_id, len(parts) >= 3 AND named >= 0.8 * len(parts) AS is_author_list FROM q""")
+@query()
 def author_lists(spark: SparkSession, d: str) -> DataFrame:
-    """texts that are a bare list of names."""
-    t = table(spark, d, "documents").where("text IS NOT NULL").where(F.length("text") < 400)
-    parts = F.filter(F.transform(F.split(F.replace("text", F.lit(" and "), F.lit(",")), "[,&]"), lambda p: F.trim(p)), lambda p: p != "")
-    named = F.size(F.filter(parts, lambda p: p.rlike("^[A-Z][^ 0-9]*(?: [A-Z][^ 0-9]*){1,4}$")))
-    return t.select("doc_id", ((F.size(parts) >= 3) & (named >= 0.8 * F.size(parts))).alias("is_author_list"))
+    """texts that are a bare list of names, particles and affiliation marks allowed."""
+    t = table(spark, d, "documents").where("text IS NOT NULL")
+    return t.select("doc_id", cascade.author_list(F.col("text")).alias("is_author_list"))
 
 
 @query(f"""WITH f AS (SELECT doc_id, page, count(*) AS n_lines FROM (SELECT DISTINCT doc_id, page, line_no FROM ocr_lines) GROUP BY ALL), p AS (SELECT DISTINCT doc_id, page, ocr FROM layout_pages),
 s AS (SELECT doc_id, page, sum(length(coalesce(text, ''))) AS n_chars FROM (SELECT DISTINCT * FROM spans) GROUP BY ALL)
-SELECT doc_id, page, coalesce(n_chars, 0) <= 40 AND n_lines > 0 AS scanned, ocr FROM p LEFT JOIN f USING (doc_id, page) LEFT JOIN s USING (doc_id, page) WHERE n_lines IS NOT NULL""")
+SELECT doc_id, page, coalesce(n_chars, 0) <= 40 AS few_signs, coalesce(n_lines, 0) AS n_lines, ocr FROM p LEFT JOIN f USING (doc_id, page) LEFT JOIN s USING (doc_id, page)""")
 def scanned_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with next to no text of their own."""
+    """Every page with whether it has next to no text of its own, and its scanned lines. Images are in no table, so their cover is not asked."""
     p = table(spark, d, "layout_pages").select("doc_id", "page", "ocr").distinct()
     f = table(spark, d, "ocr_lines").select("doc_id", "page", "line_no").distinct().groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n_lines"))
     s = table(spark, d, "spans").distinct().groupBy("doc_id", "page").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_chars"))
-    return p.join(f, ["doc_id", "page"]).join(s, ["doc_id", "page"], "left").select("doc_id", "page", (F.coalesce("n_chars", F.lit(0)) <= 40).alias("scanned"), "ocr")
+    return p.join(f, ["doc_id", "page"], "left").join(s, ["doc_id", "page"], "left").select("doc_id", "page", (F.coalesce("n_chars", F.lit(0)) <= 40).alias("few_signs"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), "ocr")
 
 
-@query("""SELECT doc_id, page, line_no, text FROM (SELECT DISTINCT * FROM ocr_lines) JOIN (SELECT DISTINCT doc_id, page, height FROM layout_pages) USING (doc_id, page)
-WHERE score >= 0.75 AND y1 > height * 0.06 AND y0 < height * (1 - 0.06::DOUBLE)""")
+@query("""SELECT doc_id, page, line_no, text, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, line_no, text) AS place FROM (SELECT DISTINCT * FROM ocr_lines) JOIN (SELECT DISTINCT doc_id, page, height FROM layout_pages) USING (doc_id, page)
+WHERE score >= 0.5 AND y1 > height * 0.06 AND y0 < height * (1 - 0.06::DOUBLE)""")
 def usable_scan_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines read with a fair score, outside the outer 6 % of the page."""
+    """Lines read with a score of a half at least, outside the outer 6 % of the page, in reading order."""
     o = L.with_page(table(spark, d, "ocr_lines").distinct(), table(spark, d, "layout_pages"))
-    return o.where((F.col("score") >= 0.75) & (F.col("y1") > F.col("height") * 0.06) & (F.col("y0") < F.col("height") * (1 - 0.06))).select("doc_id", "page", "line_no", "text")
+    kept = o.where((F.col("score") >= 0.5) & (F.col("y1") > F.col("height") * 0.06) & (F.col("y0") < F.col("height") * (1 - 0.06)))
+    return kept.select("doc_id", "page", "line_no", "text", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "line_no", "text")).cast("long").alias("place"))

@@ -29,16 +29,34 @@ def latest_progress(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("doc_id").agg(F.max_by(F.struct("segment_id", "total", "page"), "done").alias("x"), F.max("done").alias("done")).select("doc_id", "x.segment_id", "done", "x.total", "x.page")
 
 
-@query(f"""WITH l AS (SELECT doc_id, max(done) AS done, arg_max(total, done) AS total FROM {_P} GROUP BY doc_id)
-SELECT j.doc_id, j.filename, j.status, l.done, l.total, CASE WHEN l.total > 0 THEN 8 + 88.0::DOUBLE * l.done / l.total ELSE 2.0::DOUBLE END AS percent FROM {_JOBS} j LEFT JOIN l USING (doc_id)""")
-def board_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Jobs with their progress and weighted percentage."""
+_BOARD = f"""l AS (SELECT doc_id, max(done) AS done, arg_max(total, done) AS total FROM {_P} GROUP BY doc_id),
+b AS (SELECT j.doc_id, j.filename, j.status, l.done, l.total, CASE WHEN j.status = 'done' THEN 100.0::DOUBLE WHEN l.total > 0 AND l.done >= l.total THEN 96.0::DOUBLE WHEN l.total > 0 THEN 8 + 88.0::DOUBLE * l.done / l.total
+  WHEN j.status = 'translating' THEN 5.0::DOUBLE ELSE 2.0::DOUBLE END AS percent FROM {_JOBS} j LEFT JOIN l USING (doc_id))"""
+
+
+def _board(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "jobs").distinct()
     l = table(spark, d, "progress").distinct().groupBy("doc_id").agg(F.max("done").alias("done"), F.max_by("total", "done").alias("total"))
-    pct = F.when(F.col("total") > 0, F.lit(8) + F.lit(88.0) * F.col("done") / F.col("total")).otherwise(F.lit(2.0))
+    known = F.col("total") > 0
+    pct = (
+        F.when(F.col("status") == "done", 100.0).when(known & (F.col("done") >= F.col("total")), 96.0).when(known, F.lit(8) + F.lit(88.0) * F.col("done") / F.col("total"))
+        .when(F.col("status") == "translating", 5.0).otherwise(2.0)
+    )
     return j.join(l, "doc_id", "left").select("doc_id", "filename", "status", "done", "total", pct.alias("percent"))
 
 
+@query(f"WITH {_BOARD} SELECT * FROM b")
+def board_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs with their progress and weighted percentage: queued 2, analysing 5, translating 8 to 96, done 100."""
+    return _board(spark, d)
+
+
+@query(f"WITH {_BOARD} SELECT status, count(*) AS n, avg(percent) AS mean FROM b WHERE status <> 'uploaded' GROUP BY status")
+def board_means(spark: SparkSession, d: str) -> DataFrame:
+    """The mean percentage of the started jobs, by status."""
+    return _board(spark, d).where("status <> 'uploaded'").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.avg("percent").alias("mean"))
+
+
 @query(f"SELECT doc_id, filename, CAST(row_number() OVER (ORDER BY strptime(substr(created_at, 1, 19), '%Y-%m-%dT%H:%M:%S') DESC, doc_id) AS INT) AS place FROM {_JOBS} WHERE created_at IS NOT NULL QUALIFY place <= 100")
 def newest_jobs(spark: SparkSession, d: str) -> DataFrame:
     """The hundred newest jobs (the report's own limit)."""

@@ -177,12 +177,12 @@ def lines_in_figures(spark: SparkSession, d: str) -> DataFrame:
     return spatial.with_centre_in(_items(spark, d), r, ["block_no", "line_no"]).select(*L.LINE)
 
 
-@query(f"""WITH {_MEET} SELECT count(*) AS n_outside FROM lines l WHERE regexp_matches(l.text, 'Fig') AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = l.doc_id AND m.page = l.page AND m.block_no = l.block_no AND m.line_no = l.line_no
-  AND m.kind = 'caption' AND (m.x0 + m.x1) / 2 BETWEEN sx0 AND sx1 AND (m.y0 + m.y1) / 2 BETWEEN sy0 AND sy1)""")
+@query(f"""WITH {_MEET} SELECT l.doc_id, l.page, count(*) AS n_outside FROM lines l WHERE regexp_matches(l.text, 'Fig') AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = l.doc_id AND m.page = l.page AND m.block_no = l.block_no AND m.line_no = l.line_no
+  AND m.kind = 'caption' AND (m.x0 + m.x1) / 2 BETWEEN sx0 AND sx1 AND (m.y0 + m.y1) / 2 BETWEEN sy0 AND sy1) GROUP BY ALL""")
 def mentions_outside(spark: SparkSession, d: str) -> DataFrame:
-    """Figure mentions outside of captions."""
+    """Figure mentions outside of captions, by page."""
     items = _items(spark, d).where(F.contains("text", F.lit("Fig")))
-    return spatial.outside(items, _regions(spark, d).where("label = 'caption'"), ["block_no", "line_no"]).agg(F.count(F.lit(1)).alias("n_outside"))
+    return spatial.outside(items, _regions(spark, d).where("label = 'caption'"), ["block_no", "line_no"]).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n_outside"))
 
 
 _KIND = """CASE WHEN share < 0.2 OR region_no IS NULL THEN CASE WHEN words <= 12 THEN 'figure_text' ELSE 'body' END WHEN share < 0.5 THEN 'body'

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 PROGRESS = "doc_id string, segment_id string, done int, total int, page int, num_pages int, source_preview string, translated_preview string, emitted_at timestamp, arrived_at timestamp"
-CHUNKS = "stream_id string, seq int, chunk string"
+CHUNKS = "stream_id string, seq int, chunk string"  # seq counts from 0 in each stream; a null chunk ends it
 TERMINAL = ("done", "error", "cancelled")
 
 
@@ -64,17 +64,39 @@ class ThinkFilter:
         return rest
 
 
-def filter_chunks(chunks: DataFrame) -> DataFrame:
-    """Visible text of each stream's chunks, kept in state between batches: stream_id, seq, visible."""
+def filter_chunks(chunks: DataFrame, idle_ms: int = 60_000) -> DataFrame:
+    """Visible text of each stream's chunks in order of their seq, from 0: stream_id, seq, visible.
+
+    A chunk that arrives before its turn waits in the state. A null chunk ends the stream: what was held as the start
+    of a tag is shown, and the state is dropped. A stream idle for `idle_ms` is ended too, gaps in it are passed over.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        f = ThinkFilter(*state.get) if state.exists else ThinkFilter()
-        rows = pd.concat(list(frames)).sort_values("seq")
-        shown = [(key[0], int(r.seq), f.feed(r.chunk)) for r in rows.itertuples(index=False)]
-        state.update((f.inside, f.held))
+        inside, held, nxt, seqs, texts = state.get if state.exists else (False, "", 0, [], [])
+        f, waiting = ThinkFilter(inside, held), dict(zip(seqs, texts, strict=True))
+        over = state.hasTimedOut
+        for frame in () if over else frames:
+            waiting.update({int(r.seq): r.chunk for r in frame.itertuples(index=False) if r.seq >= nxt})
+        shown = []
+        while waiting and (nxt in waiting or over):
+            nxt = nxt if nxt in waiting else min(waiting)
+            chunk = waiting.pop(nxt)
+            ended = chunk is None
+            shown.append((key[0], nxt, f.flush() if ended else f.feed(chunk)))
+            nxt += 1
+            if ended:
+                over = True
+                break
+        if over:
+            shown.append((key[0], nxt, f.flush()))
+            state.remove()
+        else:
+            state.update((f.inside, f.held, nxt, list(waiting), list(waiting.values())))
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([s for s in shown if s[2]], columns=["stream_id", "seq", "visible"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq int, visible string", "inside boolean, held string", "append", GroupStateTimeout.NoTimeout)
+    kept = "inside boolean, held string, next int, seqs array<int>, texts array<string>"
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq int, visible string", kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def idle_pings(events: DataFrame, idle_ms: int = 15_000) -> DataFrame:
@@ -102,10 +124,18 @@ def terminal_events(jobs: DataFrame) -> DataFrame:
 
 
 def write_latest(events: DataFrame, target: str, checkpoint: str, available_now: bool = True):
-    """Keeps the latest state of every job in `target`, written anew by each batch that changes it."""
+    """Writes the jobs that changed in each batch to `target`, a folder for each batch; a repeated batch replaces its own.
+
+    Only changed jobs are written, never the state of all; `read_latest` gives the latest of each job.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    w = latest(events).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(store)
+    w = latest(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(store)
     return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def read_latest(spark: SparkSession, target: str) -> DataFrame:
+    """The latest state of every job from the batches of `write_latest`."""
+    return latest(spark.read.parquet(target))
