@@ -604,9 +604,24 @@ def test_length_beads_cover_both_sides():
 
 
 def test_expected_counts_sum_to_target_words():
+    import numpy as np
+
     batch = pa.RecordBatch.from_arrays([pa.array([[1, 2], [3]], pa.list_(pa.int64())), pa.array([[5, 6, 7], [8]], pa.list_(pa.int64())), pa.array([0, 0], pa.int32())], ["src", "tgt", "lang"])
-    sums = align._expect(align.Table(), [batch])
-    assert abs(float(sums["p"].sum()) - 4) < 1e-4 and float(sums["n"].sum()) == 4
+    sums = {"s": np.zeros(1 << align.WORD_BITS), "t": np.zeros(1 << align.WORD_BITS), "n": np.zeros(1 << align.LANG_BITS)}
+    keys, counts = align._expect(align.Table(), batch, sums)
+    assert len(keys) == 7 and abs(counts.sum() - 4) < 1e-4 and sums["n"].sum() == 4 and sums["t"].sum() == 4
+
+
+def test_a_full_table_knows_what_it_lacks():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 1 << 63, 50_000, dtype=np.int64).view(np.uint64)
+    counts = rng.uniform(0.1, 9, 50_000).astype(np.float32)
+    table = align.Slots(keys, counts)
+    got = table.get(keys)
+    assert ((got == counts) | (got == 0)).all() and (got > 0).mean() > 0.95
+    assert not table.get(rng.integers(0, 1 << 63, 50_000, dtype=np.int64).view(np.uint64)).any()
 
 
 def test_giant_segment_is_aligned_in_stretches():
