@@ -5,10 +5,10 @@ confident 1-1 pairs word-translation counts are trained by expectation-maximisat
 model); then each segment is realigned by dynamic programming on lexical gains. Lines left over are matched across
 the page, so moved sentences are found too.
 
-Counts of word pairs are summed exactly, by 64-bit keys, first in each batch and then in a shuffle. Of them the
-MOST_PAIRS largest are kept, and sent to the workers as a table of slots with fingerprints: a pair that is not in the
-table is found to be absent, however full the table is. So the table is bounded, and what a larger vocabulary loses
-are its rarest pairs, not the truth of the others. Counts of single words are hashed to 2**WORD_BITS slots.
+Counts of words and of word pairs are summed exactly, by 63-bit hashes of the words, first in each batch and then in
+a shuffle, and all of them are kept. Up to MOST_PAIRS pairs and 2**WORD_BITS words are sent whole to the workers. Of
+more, none is dropped: the rows are taken in parts, and each part is joined with the counts that its own words need
+(`Model.over`), so both ways give the same rows and what a worker holds is bounded by its part.
 
 Defined results: segments without translation, and empty lines, have no pairs; line numbers count empty lines.
 """
@@ -18,22 +18,26 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, spread
 
-MOST_PAIRS = 1 << 21  # word pairs of the translation table, all languages together
-LEAST_COUNT = 0.02  # expected count below which a pair is dropped between rounds
-WORD_BITS = 20
-LANG_BITS = 10
+MOST_PAIRS = 1 << 21  # word pairs sent whole to the workers, all languages together; more are joined
+WORD_BITS = 20  # so many words, as a power of two, are sent whole
+LANG_BITS = 24
+LINKED = 0.3  # expected count from which two words are linked at all
+PART = 1 << 20  # word pairs, or signs of text, of the rows that are joined with their counts at once
 ROUNDS = 3
 THETA = 0.42  # share of a line's weight that must be explained for a pair to pay
 WHOLE = 0.72  # share by which a part must be explained to join a line that has a partner
@@ -48,7 +52,7 @@ _WORD = regex.compile(r"[\p{Hangul}]+|[\p{Han}\p{Katakana}\p{Hiragana}ー]+|[\p{
 
 @lru_cache(maxsize=200_000)
 def _hash(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8"))
+    return int.from_bytes(blake2b(word.encode("utf-8"), digest_size=8).digest(), "big") >> 1
 
 
 def tokens(line: str, target: bool) -> tuple[list[str], list[str]]:
@@ -161,135 +165,245 @@ def _key(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_MORE = np.uint64(1 << 8)
+
+
 class Slots:
-    """Counts by key in two rows of slots, each with a fingerprint; the larger count gets the first choice."""
+    """Counts by key, all of them: the first key of a slot lies in it, the others in a sorted list."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.bits = max(10, int(2 * max(1, len(keys)) - 1).bit_length())
-        self.slots = np.zeros((2, 1 << self.bits), np.uint64)  # the fingerprint and, in the low half, the count
-        order = np.argsort(counts, kind="stable")  # what is written last, the largest, stays
-        keys, counts = keys[order], counts[order].astype(np.float32)
-        for row in (0, 1):
-            at, mark = self._place(keys, row)
-            self.slots[row, at] = mark << np.uint64(32) | counts.view(np.uint32)
-            lost = self.slots[row, at] >> np.uint64(32) != mark
-            keys, counts = keys[lost], counts[lost]
-
-    def _place(self, keys: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
-        at = (keys >> np.uint64(40 if row else 8)) & np.uint64((1 << self.bits) - 1)
-        return at.astype(np.int64), ((keys * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(32)) | np.uint64(1)
+        # the lowest bit of the slot's number tells instead whether the list holds keys of the slot; an empty slot
+        # holds a key that belongs to another one
+        self.keys = ((np.arange(1 << self.bits, dtype=np.uint64) ^ np.uint64(2)) << np.uint64(8)) & ~_MORE
+        self.counts = np.zeros(1 << self.bits, np.float32)
+        at = self._at(keys)
+        _, first = np.unique(at, return_index=True)
+        self.keys[at[first]] = keys[first] & ~_MORE
+        self.counts[at[first]] = counts[first]
+        others = np.ones(len(keys), bool)
+        others[first] = False
+        self.keys[at[others]] |= _MORE
+        order = np.argsort(keys[others])
+        self.more, self.more_counts = keys[others][order], counts[others][order].astype(np.float32)
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(8)) & np.uint64((1 << self.bits) - 1)).view(np.int64)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(keys.shape, np.uint64)
-        for row in (0, 1):
-            at, mark = self._place(keys, row)
-            found = self.slots[row, at]
-            out |= np.where(found >> np.uint64(32) == mark, found, np.uint64(0))
-        return (out & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.float32)
+        flat = keys.ravel()
+        at = self._at(flat)
+        held = self.keys[at]
+        same = ((held ^ flat) | _MORE) == _MORE
+        out = np.zeros(len(flat), np.float32)
+        found = np.flatnonzero(same)
+        out[found] = self.counts[at[found]]
+        if len(self.more):
+            ask = np.flatnonzero((held & _MORE).astype(bool) & ~same)
+            where = np.minimum(np.searchsorted(self.more, flat[ask]), len(self.more) - 1)
+            out[ask] = np.where(self.more[where] == flat[ask], self.more_counts[where], np.float32(0))
+        return out.reshape(keys.shape)
 
 
 def _lang_slot(lang: str) -> int:
     return zlib.crc32(lang.encode()) & ((1 << LANG_BITS) - 1)
 
 
-def _word_slot(w: np.ndarray) -> np.ndarray:
-    return (w.astype(np.int64) * 40503 >> 3) & ((1 << WORD_BITS) - 1)
-
-
 class Table:
-    """Expected counts of word pairs, and of words on either side."""
-
-    def __init__(self) -> None:
-        self.pairs = Slots(np.empty(0, np.uint64), np.empty(0, np.float32))
-        self.source = np.ones(1 << WORD_BITS, np.float32)
-        self.target = np.ones(1 << WORD_BITS, np.float32)
-        self.totals = np.ones(1 << LANG_BITS, np.float32)
-        self.trained = False
+    """Expected counts of word pairs, and of words on either side; of rows (kind, a, b, n) as `train` counts them."""
+
+    def __init__(self, rows: pa.Table | None = None, totals: dict[int, float] | None = None) -> None:
+        self.trained = rows is not None
+        self.totals = totals or {}
+        of = {}
+        for kind in "pst":
+            some = rows.filter(pc.equal(rows["kind"], kind)) if self.trained else None
+            a, b, n = (some[c].to_numpy() if some is not None else np.empty(0, x) for c, x in (("a", np.int64), ("b", np.int64), ("n", np.float64)))
+            a, b = a.astype(np.uint64), b.astype(np.uint64)
+            of[kind] = Slots(_key(a, b) if kind == "p" else a, n)
+        self.pairs, self.source, self.target = of["p"], of["s"], of["t"]
 
     def total(self, lang: str) -> float:
-        return max(1.0, float(self.totals[_lang_slot(lang)]))
-
-    def association(self, lang: str, s: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """How strongly each source word asks for each target word, from 0 to 1."""
-        c = self.pairs.get(_key(s[:, None], t[None, :])) if self.trained else np.ones((len(s), len(t)), np.float32)
-        out = np.zeros(c.shape)
-        i, j = np.nonzero(c >= 0.3)  # few pairs are linked at all
-        c, a, b = c[i, j], self.source[_word_slot(s)][i], self.target[_word_slot(t)][j]
+        return max(1.0, self.totals.get(_lang_slot(lang), 1.0))
+
+    def association(self, lang: str, s: np.ndarray, t: np.ndarray, ns: np.ndarray, nt: np.ndarray) -> np.ndarray:
+        """How strongly each source word asks for each target word, from 0 to 1; `ns` and `nt` are their counts."""
+        out = np.zeros((len(s), len(t)))
+        if not self.trained:
+            return out
+        c = self.pairs.get(_key(s[:, None], t[None, :]))
+        i, j = np.nonzero(c >= LINKED)  # few pairs are linked at all
+        c, a, b = c[i, j], ns[i], nt[j]
         lift = np.log(c / np.maximum(a * b / self.total(lang), 1e-6))
         p = c / np.maximum(np.maximum(a, b), 1e-6)
         out[i, j] = np.clip(np.maximum(lift / 4.0, 0) * np.minimum(1.0, 0.35 + 2 * p), 0.0, 1.0)
         return out
 
-    def weight_source(self, lang: str, s: np.ndarray) -> np.ndarray:
-        return np.clip(np.log(self.total(lang) / np.maximum(self.source[_word_slot(s)], 1.0)) / 1.6, 0.15, 4.0)
+    def weight(self, lang: str, n: np.ndarray) -> np.ndarray:
+        """Weights of words by their counts."""
+        return np.clip(np.log(self.total(lang) / np.maximum(n, 1.0)) / 1.6, 0.15, 4.0)
 
-    def weight_target(self, lang: str, t: np.ndarray) -> np.ndarray:
-        return np.clip(np.log(self.total(lang) / np.maximum(self.target[_word_slot(t)], 1.0)) / 1.6, 0.15, 4.0)
 
+def _summed(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, the sum of the weights of each, and which of them each key is."""
+    found, where = np.unique(keys, return_inverse=True)
+    return found, np.bincount(where, weights=weights, minlength=len(found)), where
 
-def _expect(table: Table, batch: pa.RecordBatch, sums: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the word pairs of a batch with their expected counts; counts of words are added to `sums`."""
-    sl, tl, langs = batch.column(0), batch.column(1), batch.column(2).to_numpy()
+
+def _combos(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All source words of a batch and all target words; of every word pair its row and the places of its two words."""
+    sl, tl = batch.column(0), batch.column(1)
     sv, so = sl.values.to_numpy(), sl.offsets.to_numpy()
     tv, to = tl.values.to_numpy(), tl.offsets.to_numpy()
     ns, nt = np.diff(so), np.diff(to)
     combos = ns * nt
-    total = int(combos.sum())
-    if not total:
-        return np.empty(0, np.uint64), np.empty(0)
     pair = np.repeat(np.arange(len(ns)), combos)
-    within = np.arange(total) - np.repeat(np.cumsum(combos) - combos, combos)
-    s = sv[so[pair] + within // nt[pair]].astype(np.uint64)
-    tpos = to[pair] + within % nt[pair]
-    keys = _key(s, tv[tpos].astype(np.uint64))
-    p = table.pairs.get(keys) / np.maximum(table.source[_word_slot(s)], 1e-6) if table.trained else np.ones(total, np.float32)
-    denominator = np.bincount(tpos, weights=p, minlength=len(tv)) + 1e-12
-    share = p / denominator[tpos]
-    sums["s"] += np.bincount(_word_slot(s), weights=share, minlength=1 << WORD_BITS)
-    sums["t"] += np.bincount(_word_slot(tv.astype(np.uint64)), minlength=1 << WORD_BITS)
-    sums["n"] += np.bincount(langs, weights=nt, minlength=1 << LANG_BITS)
-    found, where = np.unique(keys, return_inverse=True)
-    return found, np.bincount(where, weights=share)
+    within = np.arange(int(combos.sum())) - np.repeat(np.cumsum(combos) - combos, combos)
+    return sv, tv, pair, so[pair] + within // nt[pair], to[pair] + within % nt[pair]
 
 
-def train(pairs: DataFrame, rounds: int = ROUNDS, most: int = MOST_PAIRS) -> Table:
-    """Expectation-maximisation over `pairs` (src, tgt: arrays of word hashes; lang: slot), one job a round."""
-    table = Table()
-    for _ in range(rounds):
-        shared = pairs.sparkSession.sparkContext.broadcast(table)
+def _expect(table: Table, batch: pa.RecordBatch, sums: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the word pairs of a batch with their expected counts.
+
+    `sums` gets the counts of the batch by kind (s, t: words; n: words of a language), and what they count as `s a`,
+    `t a`, `n a`; the words of the pairs as `p a` and `p b`.
+    """
+    sv, tv, _, spos, tpos = _combos(batch)
+    s, t = sv[spos], tv[tpos]
+    keys = _key(s, t)
+    if table.trained:
+        p = table.pairs.get(keys) / np.maximum(table.source.get(sv.astype(np.uint64)), 1e-6)[spos]
+    else:
+        p = np.ones(len(keys), np.float32)
+    share = p / (np.bincount(tpos, weights=p, minlength=len(tv)) + 1e-12)[tpos]
+    so, to = batch.column(0).offsets.to_numpy(), batch.column(1).offsets.to_numpy()
+    each = np.bincount(spos, weights=share, minlength=len(sv))
+    sums["s a"], sums["s"], _ = _summed(sv[so[0] : so[-1]], each[so[0] : so[-1]])
+    sums["t a"], sums["t"], _ = _summed(tv[to[0] : to[-1]])
+    sums["n a"], sums["n"], _ = _summed(batch.column(2).to_numpy(), np.diff(to))
+    found, counts, where = _summed(keys, share)
+    one = np.empty(len(found), np.int64)
+    one[where] = np.arange(len(keys))
+    sums["p a"], sums["p b"] = s[one], t[one]
+    return found, counts
+
+
+_COUNT = "kind string, a bigint, b bigint, n double"
+
+
+def _rows(kind: str, a: np.ndarray, b: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+    a, b = a.astype(np.int64), np.zeros(len(a), np.int64) if b is None else b
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.string()), pa.array(a), pa.array(b), pa.array(n.astype(np.float64))], ["kind", "a", "b", "n"])
+
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            row = lambda kind, at, n: pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(n, pa.float64())], ["kind", "slot", "n"])
-            sums = {"s": np.zeros(1 << WORD_BITS), "t": np.zeros(1 << WORD_BITS), "n": np.zeros(1 << LANG_BITS)}
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batch in pieces of about 4 * PART word pairs, each with the index of its first row; long lines have many."""
+    ns, nt = (np.diff(batch.column(i).offsets.to_numpy()).astype(np.int64) for i in (0, 1))
+    piece = np.cumsum(ns * nt) // (4 * PART)
+    starts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+    for x, y in zip(starts, starts[1:], strict=False):
+        if x < y:
+            yield x, batch.slice(x, y - x)
+
+
+def _count(table: Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, batch in (p for whole in batches for p in _pieces(whole)):
+        sums: dict[str, np.ndarray] = {}
+        _, n = _expect(table, batch, sums)
+        yield _rows("p", sums["p a"], sums["p b"], n)
+        for kind in "stn":
+            yield _rows(kind, sums[f"{kind} a"], None, sums[kind])
+
+
+def _parted(rows: DataFrame, weight: Column) -> DataFrame:
+    """The rows with the number of their part; a part has rows of one task, up to a weight of about PART."""
+    weighed = rows.withColumn("part", weight.cast("bigint"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, done = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            w = done + np.cumsum(batch.column("part").to_numpy())
+            done = int(w[-1]) if len(w) else done
+            yield batch.set_column(batch.num_columns - 1, "part", pa.array(first + w // PART, pa.int64()))
+
+    return cut(weighed.mapInArrow(run, weighed.schema), "parts")
+
+
+class Model:
+    """Counts of words and word pairs for the workers: a table sent whole, or, of many, the counts to join."""
+
+    def __init__(self, spark: SparkSession, counts: DataFrame | None = None, most: int = MOST_PAIRS) -> None:
+        self.counts = counts
+        self.totals: dict[int, float] = {}
+        table = Table()
+        whole = True
+        if counts is not None:
+            self.totals = {r["a"]: r["n"] for r in counts.where("kind = 'n'").collect()}
+            size = {r["kind"]: r["count"] for r in counts.groupBy("kind").count().collect()}
+            whole = size.get("p", 0) <= most and size.get("s", 0) + size.get("t", 0) <= 1 << WORD_BITS
+            table = Table(counts.where("kind <> 'n'").toArrow(), self.totals) if whole else table
+        self.shared = spark.sparkContext.broadcast(table) if whole else None
+
+    def release(self) -> None:
+        if self.shared is not None:
+            self.shared.unpersist()
+
+    def over(self, rows: DataFrame, run: Callable, schema: str, weight: Column, need: Callable, linked: bool) -> DataFrame:
+        """`run(table, batches)` over the rows, with a table that holds all counts they need.
+
+        `need(batch)` gives, row by row of a batch, kinds with their words: (index of the row, kind, a, b). With
+        `linked` those are single words, and all pairs between them are meant.
+        """
+        if self.shared is not None:
+            shared = self.shared
+            return rows.mapInArrow(lambda batches: run(shared.value, batches), schema)
+        parted = rows if "part" in rows.columns else _parted(rows, weight)
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys, n = _expect(shared.value, batch, sums)
-                yield row("p", keys.view(np.int64), n)
-            for kind, values in sums.items():
-                at = np.flatnonzero(values)
-                yield row(kind, at, values[at])
-
-        counted = cut(pairs.mapInArrow(run, "kind string, slot bigint, n double").groupBy("kind", "slot").agg(F.sum("n").alias("n")).where((F.col("kind") != "p") | (F.col("n") >= LEAST_COUNT)), "counts")
-        # the least count that leaves at most `most` pairs, to a sixteenth of a doubling
-        level = F.floor(F.log2("n") * 16)
-        least, kept = None, 0
-        for r in counted.where("kind = 'p'").groupBy(level.alias("level")).count().orderBy(F.col("level").desc()).collect():
-            kept += r["count"]
-            if kept > most:
-                break
-            least = r["level"]
-        got = counted.where((F.col("kind") != "p") | (level >= (least if least is not None else 1 << 30))).toArrow()
-        fresh = Table()
-        fresh.trained = True
-        for kind, into in (("s", "source"), ("t", "target"), ("n", "totals")):
-            rows = got.filter(pa.compute.equal(got["kind"], kind))
-            values = np.zeros_like(getattr(fresh, into))
-            values[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-            setattr(fresh, into, values)
-        rows = got.filter(pa.compute.equal(got["kind"], "p"))
-        fresh.pairs = Slots(rows["slot"].to_numpy().view(np.uint64), rows["n"].to_numpy().astype(np.float32))
-        shared.unpersist()
-        table = fresh
-    return table
+                part = batch.column("part").to_numpy()
+                for kind, row, a, b in need(batch):
+                    of = pa.table({"part": part[row], "a": a, "b": b}).group_by(["part", "a", "b"]).aggregate([]).combine_chunks()
+                    of = of.append_column("kind", pa.array([kind] * len(of), pa.string())).select(["part", "kind", "a", "b"])
+                    yield from of.to_batches()
+
+        asked = parted.mapInArrow(ask, "part bigint, kind string, a bigint, b bigint").distinct()
+        if linked:
+            asked = cut(asked, "asked")
+        got = asked.join(self.counts, ["kind", "a", "b"])
+        if linked:
+            source = asked.where("kind = 's'").select("part", "a")
+            target = asked.where("kind = 't'").select("part", F.col("a").alias("b"))
+            got = got.unionByName(self.counts.where("kind = 'p'").join(source, "a").join(target, ["part", "b"]))
+        totals = self.totals
+
+        def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(run(Table(right, totals), iter(left.combine_chunks().to_batches())))
+
+        return parted.groupBy("part").cogroup(got.select("part", "kind", "a", "b", "n").groupBy("part")).applyInArrow(joined, schema)
+
+
+def _need_pairs(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    for first, piece in _pieces(batch):
+        sv, tv, row, spos, tpos = _combos(piece)
+        yield "p", first + row, sv[spos], tv[tpos]
+        yield "s", first + row, sv[spos], np.zeros(len(row), np.int64)
+
+
+def train(pairs: DataFrame, rounds: int = ROUNDS, most: int = MOST_PAIRS) -> Model:
+    """Expectation-maximisation over `pairs` (src, tgt: arrays of word hashes; lang: slot), one job a round."""
+    spark = pairs.sparkSession
+    model = Model(spark)
+    for k in range(rounds):
+        if model.shared is None and "part" not in pairs.columns:
+            pairs = _parted(pairs, F.size("src").cast("bigint") * F.size("tgt"))
+        counts = model.over(pairs, _count, _COUNT, F.lit(1), _need_pairs, False).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+        if k == rounds - 1:
+            counts = counts.where((F.col("kind") != "p") | (F.col("n") >= LINKED))  # others are never looked at
+        counts = cut(counts, "counts")
+        model.release()
+        model = Model(spark, counts, most)
+    return model
 
 
 class Side:
@@ -316,13 +430,14 @@ class Side:
 
 
 def gain_matrices(table: Table, a: Side, b: Side) -> dict:
-    assoc = table.association(a.lang, a.flat, b.flat)
+    ns, nt = table.source.get(a.flat), table.target.get(b.flat)
+    assoc = table.association(a.lang, a.flat, b.flat, ns, nt)
     if a.anchor.any() or b.anchor.any():
         assoc[a.anchor, :] = 0.0
         assoc[:, b.anchor] = 0.0
         assoc[(a.flat[:, None] == b.flat[None, :]) & a.anchor[:, None] & b.anchor[None, :]] = 1.0
-    wa = np.where(a.anchor, ANCHOR_WEIGHT, table.weight_source(a.lang, a.flat))
-    wb = np.where(b.anchor, ANCHOR_WEIGHT, table.weight_target(a.lang, b.flat))
+    wa = np.where(a.anchor, ANCHOR_WEIGHT, table.weight(a.lang, ns))
+    wb = np.where(b.anchor, ANCHOR_WEIGHT, table.weight(a.lang, nt))
     return {
         "col": np.maximum.reduceat(assoc, a.starts, axis=0),  # source lines x target tokens
         "row": np.maximum.reduceat(assoc, b.starts, axis=1),  # source tokens x target lines
@@ -450,8 +565,8 @@ def match_leftovers(table: Table, a: Side, b: Side, given: list[tuple[int, int]]
         for x in range(0, len(ordered), LEFTOVER_BLOCK):
             some = ordered[x : x + LEFTOVER_BLOCK]
             found += [f for f in _gains(table, a, b, sorted({i for i, _ in some}), sorted({j for _, j in some})) if (f[1], f[2]) in pairs]
-    wa = np.where(a.anchor, ANCHOR_WEIGHT, table.weight_source(a.lang, a.flat))
-    wb = np.where(b.anchor, ANCHOR_WEIGHT, table.weight_target(a.lang, b.flat))
+    wa = np.where(a.anchor, ANCHOR_WEIGHT, table.weight(a.lang, table.source.get(a.flat)))
+    wb = np.where(b.anchor, ANCHOR_WEIGHT, table.weight(a.lang, table.target.get(b.flat)))
     sa, sb = _slices(a), _slices(b)
     seen_a, seen_b = np.zeros(len(a.flat)), np.zeros(len(b.flat))
     held = set(given or ())
@@ -508,6 +623,16 @@ def align_segment(table: Table, lang: str, source: str | None, target: str | Non
     return [(s[i][0], t[j][0]) for i, j in pairs], [s[i][0] for i in fa], [t[j][0] for j in fb]
 
 
+def _need_words(kind: str, texts: list[tuple[str, list[str]]]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of the lines of one side, for each row of a batch."""
+    row, words = [], []
+    for i, (lang, some) in enumerate(texts):
+        got = set(Side(lang, [line for text in some for line in _lines(text)], kind == "t").flat.tolist())
+        row.extend([i] * len(got))
+        words.extend(got)
+    return kind, np.array(row, np.int64), np.array(words, np.int64), np.zeros(len(words), np.int64)
+
+
 _PAIR = "doc_id string, src_seg string, src_line int, tgt_seg string, tgt_line int"
 
 
@@ -528,11 +653,9 @@ def align_pages(segments: DataFrame) -> DataFrame:
     # segments are aligned one by one: how they lie in tasks is left to their size
     segs = spread(cut(segs, "lines"))
     confident = cut(segs.select("lang", "source", "translated").mapInArrow(collect, "src array<bigint>, tgt array<bigint>, lang int"), "confident")
-    table = train(confident)
-    shared = segs.sparkSession.sparkContext.broadcast(table)
+    model = train(confident, most=MOST_PAIRS)
 
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tab = shared.value
+    def inside(tab: Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = batch.to_pydict()
             out: list[tuple] = []
@@ -545,14 +668,19 @@ def align_pages(segments: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], ["doc_id", "page", "src_seg", "src_line", "tgt_seg", "tgt_line", "lang", "text"])
 
-    met = cut(segs.mapInArrow(inside, _PAIR.replace("doc_id string,", "doc_id string, page int,") + ", lang string, text string"), "aligned")
+    def words_inside(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+        langs = batch.column("lang").to_pylist()
+        yield _need_words("s", [(lang, [x or ""]) for lang, x in zip(langs, batch.column("source").to_pylist(), strict=True)])
+        yield _need_words("t", [(lang, [x or ""]) for lang, x in zip(langs, batch.column("translated").to_pylist(), strict=True)])
+
+    signs = F.length("source").cast("bigint") + F.length("translated")
+    met = cut(model.over(segs, inside, _PAIR.replace("doc_id string,", "doc_id string, page int,") + ", lang string, text string", signs, words_inside, True), "aligned")
     paired = met.where(F.col("src_seg").isNotNull() & F.col("tgt_seg").isNotNull())
     free = met.where(F.col("text").isNotNull())
     pages = free.groupBy("doc_id", "page", "lang").agg(F.sort_array(F.collect_list(F.struct("src_seg", "src_line", "tgt_seg", "tgt_line", "text"))).alias("rest"))
     both = pages.where(F.exists("rest", lambda x: x["src_seg"].isNotNull()) & F.exists("rest", lambda x: x["tgt_seg"].isNotNull()))
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tab = shared.value
+    def across(tab: Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, lang, rest in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), batch.column("rest").to_pylist(), strict=True):
@@ -563,5 +691,11 @@ def align_pages(segments: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32()), strict=True)], ["doc_id", "src_seg", "src_line", "tgt_seg", "tgt_line"])
 
-    moved = both.mapInArrow(across, _PAIR)
+    def words_across(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+        langs, rests = batch.column("lang").to_pylist(), batch.column("rest").to_pylist()
+        for kind, side in (("s", "src_seg"), ("t", "tgt_seg")):
+            yield _need_words(kind, [(lang, [r["text"] for r in rest if r[side] is not None]) for lang, rest in zip(langs, rests, strict=True)])
+
+    signs = F.aggregate("rest", F.lit(0).cast("bigint"), lambda n, r: n + F.length(r["text"]))
+    moved = model.over(both, across, _PAIR, signs, words_across, True)
     return paired.select("doc_id", "src_seg", "src_line", "tgt_seg", "tgt_line").unionByName(moved)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from quirework.llm import align, lookalike
 from quirework.session import ship
@@ -68,3 +69,63 @@ def test_house_texts_give_their_spelling(spark):
         one = sorted((r["id"], r["ref_id"]) for r in lookalike.matches(part, "text", house).collect())
         two = sorted((r["id"], r["ref_id"]) for r in lookalike.join_looks(part, "text", house).collect())
         assert one == two and (0, 1) in one and (3, 3) in one
+
+
+def test_word_pairs_beyond_what_is_sent_are_joined(spark, monkeypatch):
+    ship(spark)
+    rng = random.Random(12)
+    words = [("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)), chr(0xAC00 + 20 * i) + chr(0xAC00 + 31 * i)) for i in range(300)]
+
+    def lines(n):
+        return [tuple(map(" ".join, zip(*rng.sample(words, 6), strict=True))) for _ in range(n)]
+
+    rows = [("d", i, "s0", "en", "\n".join(a for a, _ in some), "\n".join(b for _, b in some)) for i in range(250) for some in [lines(3)]]
+    moved = lines(40)
+    # the first segment of a page has the lines, the second their renderings in another order
+    rows += [("x", p, s, "en", "\n".join(a for a, _ in some) if s == "s0" else "", "\n".join(b for _, b in some[::-1]) if s == "s1" else "") for p in range(8) for some in [moved[5 * p : 5 * p + 5]] for s in ("s0", "s1")]
+    df = spark.createDataFrame(rows, "doc_id string, page int, seg_id string, lang string, source string, translated string")
+    whole = sorted(map(tuple, align.align_pages(df).collect()))
+    assert [r for r in whole if r[0] == "x"] == sorted([("x", "s0", i, "s1", 4 - i) for i in range(5)] * 8)
+    monkeypatch.setattr(align, "MOST_PAIRS", 100)
+    monkeypatch.setattr(align, "PART", 2000)
+    assert sorted(map(tuple, align.align_pages(df).collect())) == whole
+
+    pairs = [p for r in rows for p in align.confident_pairs("en", r[4], r[5])]
+    df = spark.createDataFrame([(*p, 0) for p in pairs], "src array<bigint>, tgt array<bigint>, lang int")
+    sent, joined = align.train(df, most=1 << 20), align.train(df, most=100)
+    assert sent.shared is not None and joined.shared is None
+    want, got = ({(r["kind"], r["a"], r["b"]): r["n"] for r in m.counts.collect()} for m in (sent, joined))
+    assert want.keys() == got.keys() and len(want) > 900 and all(abs(got[k] - n) < 1e-3 for k, n in want.items())
+
+
+def test_rare_words_of_long_lines_are_counted(spark, monkeypatch):
+    ship(spark)
+    # of the last word every pair is seen once, in a line of 60 words; the other words tell which one is its own
+    rows = [(list(range(1, 61)), list(range(101, 161)), 0)] + [([i], [100 + i], 0) for i in range(1, 60)] * 20
+    model = align.train(spark.createDataFrame(rows, "src array<bigint>, tgt array<bigint>, lang int"))
+    assert {r["b"] for r in model.counts.where("kind = 'p' and a = 60").collect()} == {160}
+    # a batch taken in pieces has the same counts
+    lists = pa.list_(pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (lists, lists, pa.int32()), strict=True)], ["src", "tgt", "lang"])
+
+    def counted():
+        got = pa.Table.from_batches(align._count(align.Table(), iter([batch])))
+        return len(got), got.group_by(["kind", "a", "b"]).aggregate([("n", "sum")]).sort_by([("kind", "ascending"), ("a", "ascending"), ("b", "ascending")])["n_sum"].to_numpy()
+
+    n, whole = counted()
+    monkeypatch.setattr(align, "PART", 100)
+    m, pieces = counted()
+    assert m > n == len(whole) == len(pieces) and np.allclose(whole, pieces)
+
+
+def test_a_table_has_every_count():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 3000, 200_000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).view(np.uint64) << np.uint64(1))
+        counts = rng.uniform(0.1, 9, len(keys)).astype(np.float32)
+        table = align.Slots(keys, counts)
+        assert np.array_equal(table.get(keys), counts)
+        assert not table.get(keys + np.uint64(1)).any()
+    # keys that fall into one slot
+    keys = (np.arange(1, 50, dtype=np.uint64) << np.uint64(40)) | np.uint64(5 << 8)
+    assert np.array_equal(align.Slots(keys, np.arange(49) + 1.0).get(keys), np.arange(49) + 1.0)
